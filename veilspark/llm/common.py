@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number rows by partition and position. ``df`` must be re-readable in the same order: a stored table or a checkpoint."""
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Number the rows of a checkpointed table by partition and position; only there are these numbers the same in every pass."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Name of the key column; no table is expected to have it.
+ROW = "_veilspark_row"
+
+
+def keyed(df: DataFrame, name: str = ROW) -> DataFrame:
+    """Give every row a key that is the same in every pass over ``df``, whatever executors come and go between them.
+
+    Rows of files are keyed by file and place in the file. Other tables have no lasting place, so they are checkpointed first.
+    """
+    try:
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+        return df.select("*", place.alias(name))
+    except AnalysisException:
+        return durable(df).withColumn(name, F.monotonically_increasing_id().cast("string"))
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; ``df`` should be durable, so that the count is cheap."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

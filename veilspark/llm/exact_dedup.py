@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, with_row_id
+from .common import durable, numbered
 
 #: Digests expected in a bucket of the index; bounds the memory of a build and of a lookup.
 BUCKET_DIGESTS = 4096
@@ -141,10 +141,10 @@ def _lookup(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
-def digests(docs: DataFrame, history) -> DataFrame:
-    """One row per document: ``doc_id``, ``_row``, ``digest`` (SHA-256 of the whole text, null read as empty), ``_old``."""
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"), F.coalesce(history, F.lit(False)).alias("_old")))
-    return rows.select("doc_id", "_row", F.unhex(F.sha2("_t", 256)).alias("digest"), "_old")
+def digests(docs: DataFrame, history: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A checkpointed row per document: ``doc_id, _row, digest`` (SHA-256 of the whole text, null read as empty), ``_old``, and ``keep``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return numbered(durable(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(history, F.lit(False)).alias("_old"))))
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
@@ -159,24 +159,24 @@ def build_index(rows: DataFrame, buckets: int) -> DataFrame:
     return _grouped(rows, buckets).groupBy("bucket").applyInPandas(_build, _INDEX)
 
 
-def exact_groups(docs: DataFrame, history) -> DataFrame:
+def exact_groups(docs: DataFrame, history: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Find groups of equal texts.
 
     docs: has doc_id and text; other columns are ignored. history: boolean Column, true for rows of earlier batches, over
-    which the perfect hash is built; the others are looked up in it.
+    which the perfect hash is built; the others are looked up in it. keep: columns of docs to carry along.
 
-    Returns one row per row of docs: ``doc_id, _row, keep_id, group_size, kept, text_sha256, in_history``. The row with
+    Returns one row per row of docs: ``keep`` and ``doc_id, keep_id, group_size, kept, text_sha256, in_history``. The row with
     the largest doc_id stays (a null doc_id is smaller than any other; of rows that repeat it the last stored one stays).
     Null text counts as empty; an empty table gives no rows.
     """
-    rows = durable(digests(docs, history))
+    rows = digests(docs, history, keep)
     buckets = max(1, -(-rows.count() // BUCKET_DIGESTS))
     index = build_index(rows.where("_old"), buckets)
     groups = index.groupBy("bucket").cogroup(_grouped(rows.where("NOT _old"), buckets).groupBy("bucket")).applyInPandas(_lookup, _GROUPS)
     joined = rows.join(groups, "digest")
     return joined.select(
+        *keep,
         "doc_id",
-        "_row",
         "keep_id",
         "group_size",
         (F.col("_row") == F.col("keep_row")).alias("kept"),

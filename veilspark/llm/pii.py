@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, with_row_id
+from .common import ROW, durable, keyed, maybe_broadcast, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -82,13 +82,18 @@ def _context(left: Column) -> Column:
     return F.when(plain.rlike(r"\p{L}"), plain)
 
 
-def occurrences(docs: DataFrame, row: str) -> DataFrame:
+def scanned(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """A checkpointed, numbered row per document: ``keep``, ``_n`` and the raw ``matches`` of all expressions. Null text has none."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return numbered(durable(docs.select(*keep, F.concat(*[_scan(text, i) for i in range(len(_SCANS))]).alias("matches"))), "_n")
+
+
+def occurrences(scans: DataFrame, row: str = "_n") -> DataFrame:
     """Base matches that pass their checks and look-alikes that touch none of them.
 
-    Columns: ``row, kind, start, end, base, value, pattern``. Only text and the row number are read; null text has none.
+    Columns: ``row, kind, start, end, base, value, pattern``. scans: rows of ``scanned``.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(row, F.explode(F.concat(*[_scan(text, i) for i in range(len(_SCANS))])).alias("m")).select(row, "m.*")
+    found = scans.select(row, F.explode("matches").alias("m")).select(row, "m.*")
     running = Window.partitionBy(row, "scan").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(running)
     kinds = F.element_at(F.array(*[F.lit(k) for _, k, _, _ in _SCANS]), F.col("scan") + 1)
@@ -125,9 +130,9 @@ def confident_patterns(found: DataFrame) -> DataFrame:
     return confident.select("pattern")
 
 
-def find_spans(docs: DataFrame, row: str) -> DataFrame:
+def find_spans(scans: DataFrame, row: str = "_n") -> DataFrame:
     """Every span to report: ``row, kind, start, end, base``; those beyond the base rules come from trusted patterns."""
-    found = durable(occurrences(docs, row))
+    found = durable(occurrences(scans, row))
     trusted = maybe_broadcast(durable(confident_patterns(found)))
     more = found.where("NOT base").join(trusted, "pattern", "left_semi").select(row, "kind", "start", "end", "base")
     earlier = F.max("end").over(Window.partitionBy(row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
@@ -143,17 +148,16 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, counts of base matches by kind, ``base_sha256`` of their spans, and all ``spans``.
 
-    Null and empty texts have no spans. docs must be stored rows (a table or a checkpoint), as rows are told apart by their
-    place; so rows that repeat a doc_id get one row each.
+    Null and empty texts have no spans. Rows that repeat a doc_id get one row each; other columns are ignored.
     """
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    scans = scanned(docs, ("doc_id",))
     one = F.struct("kind", "start", "end")
     counts = [F.count_if(F.col("base") & (F.col("kind") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    spans = find_spans(rows, "_row").groupBy("_row").agg(*counts, F.collect_list(F.when(F.col("base"), one)).alias("_b"), F.collect_list(one).alias("_s"))
-    listed = spans.select("_row", *[f"n_{k}" for k in KINDS], _listed(F.col("_b")).alias("_b"), _listed(F.col("_s")).alias("spans"))
-    joined = rows.select("doc_id", "_row").join(listed, "_row", "left")
+    spans = find_spans(scans).groupBy("_n").agg(*counts, F.collect_list(F.when(F.col("base"), one)).alias("_b"), F.collect_list(one).alias("_s"))
+    listed = spans.select("_n", *[f"n_{k}" for k in KINDS], _listed(F.col("_b")).alias("_b"), _listed(F.col("_s")).alias("spans"))
+    joined = scans.select("doc_id", "_n").join(listed, "_n", "left")
     return joined.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce("_b", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
@@ -163,10 +167,11 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All columns stay; a null text stays null. docs must be stored rows, see ``report``.
+    All columns stay; a null text stays null.
     """
-    rows = with_row_id(docs, "_row")
-    spans = find_spans(rows.select("_row", "text"), "_row").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+    rows = keyed(docs)
+    scans = scanned(rows, (ROW,))
+    spans = find_spans(scans).groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).join(scans.select(ROW, "_n"), "_n").drop("_n")
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(s: Column, x: Column) -> Column:
@@ -177,4 +182,4 @@ def redact(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text")))
     clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, rest))
-    return rows.join(spans, "_row", "left").select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.join(spans, ROW, "left").select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
