@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, pii, quality, sharding, token_counts
+from . import exact_dedup, html_extract, language_id, near_dedup, packing, pii, quality, sentence_pieces, sharding, token_counts
 from .common import durable, ensure_checkpoint_dir, table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BPE, capacity=2048, end_id=1)
 
@@ -64,7 +69,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
@@ -72,6 +86,8 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
