@@ -1,11 +1,75 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality rules, exact and near deduplication, removal of personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. ``docs`` has the columns of documents,
+doc_id, text, lang, source, n_chars and any others, and all stages but the last return them; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.llm import exact_dedup, near_dedup, packing, pii, quality
+from veilspark.llm.common import ROW, durable, keyed, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _only(rows: DataFrame, stay: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose key is in ``stay``."""
+    return rows.join(stay.select(ROW), ROW, "left_semi").select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the base rule or a risk-controlled rule of its language rejects."""
+    rows = keyed(docs)
+    verdict = quality.judge(rows, table(spark, sf_dir, "labels"), keep=(ROW,))
+    return _only(rows, verdict.where("kept"), docs.columns)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of equal texts; half of the ids stand for batches that are indexed already."""
+    rows = keyed(docs)
+    groups = exact_dedup.exact_groups(rows, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, keep=(ROW,))
+    return _only(rows, groups.where("kept"), docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by similar sets of five-word shingles."""
+    rows = keyed(docs)
+    groups = near_dedup.near_groups(rows, width=5, percent=80, key=ROW)
+    return _only(rows, groups.where("stays").withColumnRenamed("_row", ROW), docs.columns)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every span of personal data by its kind; n_chars follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, TOKENIZER, capacity=2048, end_id=1)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact deduplication", exact_deduplication),
+    ("near deduplication", near_deduplication),
+    ("personal data", remove_personal_data),
+    ("packing", pack),
+]
+
+#: No SQL: binomial cutoffs, similarity components and BPE ids are held against brute force in the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; each result is checkpointed before the next stage reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = durable(docs)
     return docs
