@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words up to this length advance in batches; longer ones, and lengths with few words, go one by one.
 BATCH_LENGTH, BATCH_WORDS = 40, 8
-#: Words remembered by a Python worker.
-KNOWN_WORDS = 300_000
+#: Words remembered by a Python worker; characters whose words are encoded at once.
+KNOWN_WORDS, RUN = 1_500_000, 8_000_000
+#: Size of the table of decided pairs, as a power of two.
+PAIR_BITS = 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _START, _UNKNOWN = -2, -1
@@ -61,7 +64,7 @@ class Pieces:
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, plain: list[bool], bpe: bool, dummy_prefix: bool = True):
         self.vocab = {p: i for i, p in enumerate(pieces) if plain[i]}
         self.scores, self.byte_ids, self.unknown, self.bpe, self.dummy_prefix = np.array(scores), byte_ids, unknown, bpe, dummy_prefix
-        self.pieces = pieces
+        self.pieces, self.score_of = pieces, {p: float(scores[i]) for p, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab), default=1)
         self.unknown_score = min((scores[i] for i in self.vocab.values()), default=0.0) - 10.0
         self.bytes = [p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
@@ -74,7 +77,10 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.vocab.values()), np.int64)[order]
         self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
-        self.apart: dict[int, bool] = {}
+        self.present = np.zeros(1 << 20, bool)
+        self.present[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.pairs = np.full(1 << PAIR_BITS, -2, np.int64)
+        self.asked: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -102,16 +108,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merge neighbours by the best piece score, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.vocab.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score = list(text), self.score_of.get
+        pairs = [score(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > -np.inf:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], -np.inf)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], -np.inf)
         return parts
 
     def stay_apart(self, left: int, right: int) -> bool:
@@ -120,16 +126,14 @@ class Pieces:
             return True
         if left == _UNKNOWN:
             left = _START
-        key = (left + 2) * (len(self.pieces) + 2) + right
-        found = self.apart.get(key)
-        if found is None:
-            parts = [self.pieces[right]] if left == _START else [self.pieces[left], self.pieces[right]]
-            found = self.apart[key] = self.merged("".join(parts)) == parts
-        return found
+        parts = [self.pieces[right]] if left == _START else [self.pieces[left], self.pieces[right]]
+        return self.merged("".join(parts)) == parts
 
     def _alone(self, word: str) -> list[int]:
         """Viterbi for one word."""
-        n = len(word)
+        n, asked = len(word), self.asked
+        if len(asked) > KNOWN_WORDS:
+            asked.clear()
         best, back, last = [0.0] + [-np.inf] * n, [0] * (n + 1), [_START] + [_UNKNOWN] * n
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
@@ -139,7 +143,10 @@ class Pieces:
                 if piece == _UNKNOWN and j - i > 1:
                     continue
                 if self.bpe:
-                    if self.stay_apart(last[i], piece):
+                    pair = last[i], piece
+                    if pair not in asked:
+                        asked[pair] = self.stay_apart(*pair)
+                    if asked[pair]:
                         best[j], back[j], last[j] = 0.0, i, piece
                 else:
                     score = best[i] + (self.unknown_score if piece == _UNKNOWN else self.scores[piece])
@@ -160,40 +167,69 @@ class Pieces:
         """Viterbi for words of one length."""
         m, n = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-        h = np.zeros((m, n + 1), np.uint64)
+        h = np.zeros((n + 1, m), np.uint64)
         for j in range(n):
-            h[:, j + 1] = h[:, j] * np.uint64(_BASE) + codes[:, j]
-        best, back = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int64)
-        last = np.full((m, n + 1), _UNKNOWN, np.int64)
-        best[:, 0], last[:, 0] = 0.0, _START
+            h[j + 1] = h[j] * np.uint64(_BASE) + codes[:, j]
+        best = np.full((n + 1, m), -np.inf)
+        back, last = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), _UNKNOWN, np.int64)
+        best[0], last[0] = 0.0, _START
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                key = h[:, j] - h[:, i] * self.powers[j - i]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == key, self.key_ids[at], _UNKNOWN)
-                rows = np.flatnonzero((best[:, i] > -np.inf) & ((piece != _UNKNOWN) | (j - i == 1)))
-                if not len(rows):
-                    continue
-                piece = piece[rows]
-                if self.bpe:
-                    pairs, which = np.unique(np.stack([last[rows, i], piece]), axis=1, return_inverse=True)
-                    good = np.array([self.stay_apart(int(a), int(b)) for a, b in pairs.T], bool)[which.ravel()]
-                    score = np.zeros(len(rows))
-                else:
-                    score = best[rows, i] + np.where(piece == _UNKNOWN, self.unknown_score, self.scores[piece])
-                    good = score > best[rows, j]
-                rows = rows[good]
-                best[rows, j], back[rows, j], last[rows, j] = score[good], i, piece[good]
-        out = []
-        for r, word in enumerate(words):
-            path, j = [], n
+            starts = range(max(0, j - self.longest), j)
+            piece = self._looked_up((h[j] - h[starts[0] : j] * self.powers[j - starts[0] : 0 : -1, None]).ravel()).reshape(len(starts), m)
+            can = (best[starts[0] : j] > -np.inf) & (piece != _UNKNOWN)
+            can[-1] = best[j - 1] > -np.inf  # a single character may be unknown
+            at, rows = np.nonzero(can)
+            piece, start = piece[at, rows], at + starts[0]
+            if self.bpe:
+                good = self._apart(last[start, rows], piece)
+                rows, piece, start = rows[good], piece[good], start[good]
+                best[j, rows], back[j, rows], last[j, rows] = 0.0, start, piece
+            else:
+                score = np.full(can.shape, -np.inf)
+                score[at, rows] = best[start, rows] + np.where(piece == _UNKNOWN, self.unknown_score, self.scores[piece])
+                top, every = score.argmax(axis=0), np.arange(m)
+                best[j], back[j] = score[top, every], top + starts[0]
+                by = np.full(can.shape, _UNKNOWN, np.int64)
+                by[at, rows] = piece
+                last[j] = by[top, every]
+        out, back, last, vocab = [], back.T.tolist(), last.T.tolist(), self.vocab
+        for word, came, by in zip(words, back, last, strict=True):
+            path, j, true = [], n, True
             while j:
-                path.append((last[r, j], word[back[r, j] : j]))
-                j = int(back[r, j])
-            true = all(p == _UNKNOWN or self.pieces[p] == t for p, t in path)  # a hash that lies is found here
-            out.append([i for p, t in reversed(path) for i in self._ids(int(p), t)] if true else self._alone(word))
+                i, p = came[j], by[j]
+                if p >= 0:
+                    path.append((p,))
+                    true = true and vocab.get(word[i:j]) == p  # a hash that lies is found here
+                else:
+                    path.append(self._ids(p, word[i:j]))
+                j = i
+            out.append([x for ids in reversed(path) for x in ids] if true else self._alone(word))
         return out
 
+    def _looked_up(self, key: np.ndarray) -> np.ndarray:
+        """The piece of each substring hash: a table of the hashes' low bits tells most misses before the sorted keys are searched."""
+        piece = np.full(len(key), _UNKNOWN, np.int64)
+        maybe = np.flatnonzero(self.present[(key & np.uint64(0xFFFFF)).astype(np.int64)])
+        if len(maybe):
+            wanted = key[maybe]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[at] == wanted
+            piece[maybe[hit]] = self.key_ids[at[hit]]
+        return piece
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces stay apart. Decided pairs lie in a table addressed by their hash; a pair that has lost its place is decided again."""
+        key = (left + 2) * (len(self.pieces) + 2) + right
+        at = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.pairs[at]
+        good, new = (held & 1).astype(bool), (held >> 1) != key
+        if new.any():
+            fresh, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            decided = np.array([self.stay_apart(a, b) for a, b in np.stack([left[new][first], right[new][first]], axis=1).tolist()], bool)
+            self.pairs[at[new][first]] = fresh * 2 + decided
+            good[new] = decided[which]
+        return good
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -212,7 +248,7 @@ class Pieces:
                 ids = [self._alone(w) for w in group]
             else:
                 ids = [x for k in range(0, len(group), 4096) for x in self._together(group[k : k + 4096])]
-            self.known.update({w: np.array(x, "<u4").tobytes() for w, x in zip(group, ids, strict=True)})
+            self.known.update({w: struct.pack(f"<{len(x)}I", *x) for w, x in zip(group, ids, strict=True)})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -230,14 +266,20 @@ def pieces(path: str) -> Pieces:
     return Pieces.load(path)
 
 
+def _runs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about ``RUN`` characters: enough words to advance together, and bounded memory."""
+    run = np.cumsum(pdf["text"].str.len().fillna(0).to_numpy()) // RUN
+    for _, part in pdf.groupby(run, sort=False):
+        yield part
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids`` (binary, little-endian unsigned 32-bit) of every whole text; a null text has no ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(model_path)
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500]
+            for part in _runs(pdf):
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": model.encode([t or "" for t in part["text"]])})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary")
@@ -264,8 +306,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = pieces(model_path)
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k : k + 500]
+            for part in _runs(pdf):
                 texts = [t or "" for t in part["text"]]
                 ids = model.encode(texts)
                 back = [model.decode(x) for x in ids]
