@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def has_any(text: Column, terms: Iterable[str]) -> Column:
     return text.rlike("|".join(map(re.escape, short))) if short else F.lit(False)
 
 
+def has_any_long(text: Column, terms: Iterable[str]) -> Column:
+    """``has_any`` for long texts: plain searches, of which the first hit ends the rest."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+
+
 def first_of(text: Column, terms: Iterable[str]) -> Column:
     """The first of the listed terms that occurs, or null."""
     return F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms], F.lit(None).cast("string"))

@@ -16,9 +16,15 @@ def with_matches(df: DataFrame, cfg: ScanConfig | None = None, text: str = "text
     return df.withColumn(name, detect(F.coalesce(F.col(text), F.lit("")), cfg or ScanConfig(), explain))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores is dealt out first, as a scan costs far more than a shuffle of its text; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, text: str = "text") -> DataFrame:
     """One row per detection with its masked text: keys, type, text, confidence, severity, bbox, status, verification_passed, attempts."""
-    found = with_matches(df.select(*keys, text), cfg, text, "_matches").select(*keys, F.explode("_matches").alias("_m"))
+    found = with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(*keys, F.explode("_matches").alias("_m"))
     return found.select(
         *keys,
         F.col("_m.type").alias("type"),
@@ -52,7 +58,7 @@ def summaries(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, tex
     """One row per document, also without detections; computed in the row."""
     m = F.col("_matches")
     weights = F.aggregate(m, F.lit(0), lambda a, x: a + severity_weight(x["severity"]))
-    return with_matches(df.select(*keys, text), cfg, text, "_matches").select(
+    return with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(
         *keys,
         F.size(m).alias("total_detections"),
         F.size(F.filter(m, lambda x: x["severity"] == "critical")).alias("critical_count"),

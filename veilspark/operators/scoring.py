@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.keywords import ADDRESS_CUES, ADDRESS_POINTS, ADDRESS_POSTAL, NEGATIVE, TIERS
-from ..functions.text import first_of, has_any, let, plain
+from ..functions.text import first_of, has_any, has_any_long, let, plain
 from .catalog import BARE_NUMBERS, STRONGLY_CHECKED, Pattern
 
 #: Characters on each side of a value that are its context, and those that are next to it (before, after).
@@ -93,18 +93,16 @@ def address_points(block: Column, many_lines: Column | None = None) -> Column:
     """Points of a block of text as a postal address; fewer than two cues give 30 at most."""
 
     def total(norm: Column) -> Column:
-        said = [(p, has_any(norm, terms)) for p, _, terms in ADDRESS_CUES.values()]
-
-        def sum_up(flags: Column) -> Column:
-            pin, postal = flags["pin"], has_any(norm, ADDRESS_POSTAL)
-            cues = sum((_if(c, 1) for _, c in said), _if(pin | postal, 1))
-            score = sum((_if(c, p) for p, c in said), F.when(pin, ADDRESS_POINTS["pincode"]).when(postal, ADDRESS_POINTS["postal"]).otherwise(0))
-            score = score + _if(flags["house"], ADDRESS_POINTS["house"])
-            if many_lines is not None:
-                score = score + _if(many_lines, ADDRESS_POINTS["lines"])
-            return F.least(F.lit(100), F.when(cues >= 2, score).otherwise(F.least(score, F.lit(30))))
-
-        return let(F.struct(has_pincode(block).alias("pin"), has_house_number(block).alias("house")), sum_up)
+        said = [has_any_long(norm, terms).alias(name) for name, (_, _, terms) in ADDRESS_CUES.items()]
+        return let(F.struct(*said, has_any_long(norm, ADDRESS_POSTAL).alias("postal"), has_pincode(block).alias("pin"), has_house_number(block).alias("house")), sum_up)
+
+    def sum_up(flags: Column) -> Column:
+        cues = sum((_if(flags[name], 1) for name in ADDRESS_CUES), _if(flags["pin"] | flags["postal"], 1))
+        score = sum((_if(flags[name], p) for name, (p, _, _) in ADDRESS_CUES.items()), F.when(flags["pin"], ADDRESS_POINTS["pincode"]).when(flags["postal"], ADDRESS_POINTS["postal"]).otherwise(0))
+        score = score + _if(flags["house"], ADDRESS_POINTS["house"])
+        if many_lines is not None:
+            score = score + _if(many_lines, ADDRESS_POINTS["lines"])
+        return F.least(F.lit(100), F.when(cues >= 2, score).otherwise(F.least(score, F.lit(30))))
 
     return let(plain(block), total)
 
