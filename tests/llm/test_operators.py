@@ -161,7 +161,7 @@ def test_near_large_cluster(spark, monkeypatch):
     texts = spark.createDataFrame([(str(i), t) for i, t in rows], "_row string, text string")
     want = brute.near(rows, 2, 80)
     members = spark.createDataFrame([(i, 0, want[i][0], str(i)) for i, _ in rows], "cid long, component long, n long, _row string")
-    got = {r.node: r.component for r in near_dedup.confirmed_components(members, texts, 2, 80).collect()}
+    got = {r.node: r.component for r in graph.components(near_dedup.confirmed_links(members, texts, 2, 80)).collect()}
     assert len({c for _, c in want.values()}) == 50
     assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
 
