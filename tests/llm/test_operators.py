@@ -147,25 +147,6 @@ def test_near_hot_group(spark, monkeypatch):
     assert Counter(r.component_id for r in got if r.stays) == Counter({c for _, c in want.values()})
 
 
-def test_near_large_cluster(spark, monkeypatch):
-    """A candidate cluster of families, a chain and single sets, far over a block: every link between parts is found."""
-    rng = np.random.default_rng(7)
-    rows = []
-    for family in range(9):
-        base = [f"f{family}_{i}" for i in range(60)]
-        for _ in range(60 if family == 0 else 25):
-            rows.append([w if rng.random() > 0.01 else f"x{rng.integers(9999)}" for w in base])
-    rows += [[f"c{k}" for k in range(3 * i, 3 * i + 60)] for i in range(80)] + [[f"s{i}_{k}" for k in range(20)] for i in range(40)]
-    rows = [(i, " ".join(rows[j])) for i, j in enumerate(rng.permutation(len(rows)))]
-    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 30)
-    texts = spark.createDataFrame([(str(i), t) for i, t in rows], "_row string, text string")
-    want = brute.near(rows, 2, 80)
-    members = spark.createDataFrame([(i, 0, want[i][0], str(i)) for i, _ in rows], "cid long, component long, n long, _row string")
-    got = {r.node: r.component for r in near_dedup.confirmed_components(members, texts, 2, 80).collect()}
-    assert len({c for _, c in want.values()}) == 50
-    assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
