@@ -331,6 +331,19 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_in_declared_articles(spark, monkeypatch):
+    """The wrapper decides inside declared articles too: rows change when it is removed. Articles that are copies stay whole."""
+    page = "<html><body><nav>Menu</nav><article><h1>News {i}</h1><p>Own text {i}</p><div>Sign up for our letters</div></article><footer>End</footer></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(8)] + [(i, f"http://copy.example/{i}", page.format(i=0)) for i in range(10, 16)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {i: f"News {i}\nOwn text {i}" for i in range(8)} | {i: "News 0\nOwn text 0\nSign up for our letters" for i in range(10, 16)}
+    induce = html_extract.induce
+    monkeypatch.setattr(html_extract, "induce", lambda pages: induce(pages).where("false"))
+    bare = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(bare[i] == f"News {i}\nOwn text {i}\nSign up for our letters" for i in range(8))
+
+
 def test_tree_matching():
     one = "0 #\n1 body\n2 nav\n2 div\n3 p\n2 footer"
     other = "0 #\n1 body\n2 div\n3 p\n3 table\n2 aside\n2 footer"

@@ -2,8 +2,9 @@
 
 A page becomes a skeleton: its block elements, where siblings of the same label are one repeated slot. The most frequent
 skeleton of a host is the reference; every other skeleton is aligned with it by simple tree matching (Yang, 1991). A slot whose
-text is the same on most pages of the host is template, a slot whose text varies can be content. What varies and still is no
-article (menus, adverts, notices, comments) is told by the roles that elements declare and by the share of linked text.
+text is the same on most pages of the host is template, also inside a declared article, a slot whose text varies can be content.
+What varies and still is no article (menus, adverts, notices, comments) is told by the roles that elements declare, by standing
+outside the declared article, and by the share of linked text.
 """
 
 from __future__ import annotations
@@ -259,16 +260,12 @@ def main_text(html: str | None, reference: str | None = None, constant: dict[int
             known = constant.get(partner.get(number[slot], -1))
             if known is not None and known == _digest(text):
                 template.add(slot)
-    declared = any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks)
-    kept = []
-    for slot, text, linked, heading in page.blocks:
-        if skip[slot] or (header[slot] and not (inside[slot] and heading)):
-            continue
-        if declared and not inside[slot]:
-            continue
-        if not declared and (slot in template or linked > LINKED * len(text)):
-            continue
-        kept.append(text)
+    shown = [b for b in page.blocks if not skip[b[0]] and not (header[b[0]] and not (inside[b[0]] and b[3]))]
+    declared = [b for b in shown if inside[b[0]]]
+    # The wrapper takes template out of a declared article too; where nothing else is in it, its pages are copies and keep it.
+    kept = [text for slot, text, _, _ in declared if slot not in template] or [text for _, text, _, _ in declared]
+    if not any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks):
+        kept = [text for slot, text, linked, _ in shown if slot not in template and linked <= LINKED * len(text)]
     return "\n".join(kept)
 
 
