@@ -72,6 +72,14 @@ def test_custom_patterns(spark):
     assert [(r.type, r.text, r.confidence) for r in rows] == [("CUSTOM_PATTERN", "•" * 10, 0.85), ("CUSTOM_PATTERN", "••••", 0.7)]
 
 
+def test_custom_patterns_see_whole_texts(spark):
+    df = spark.createDataFrame([(1, "EMP-111111 " + "word " * 4000 + "EMP-222222 " + "word " * 20000 + "EMP-333333")], "id int, text string")
+    specs = [{"name": "Employee ID", "regex": "EMP-[0-9]{6}"}]
+    for budget, want in ((None, ["EMP-111111", "EMP-222222", "EMP-333333"]), (20_000, ["EMP-111111"])):
+        found = scan.with_matches(df, ScanConfig.of(["custom"], specs, custom_text=budget)).first().matches
+        assert [m.value for m in found] == want and all(df.first().text[m.start : m.end] == m.value for m in found)
+
+
 @pytest.mark.parametrize(("name", "kind"), [("Credit  Card", "CREDIT_CARD"), (" uid ", "AADHAAR"), ("api-key", "API_KEY"), ("Custom Pattern", "CUSTOM_PATTERN"), ("swift_bic", "SWIFT_BIC")])
 def test_type_names(name, kind):
     assert normalize_type(name) == kind

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CUSTOM_TEXT, ScanConfig
+from ..config import ScanConfig
 from ..functions import validators
 from ..functions.text import between, has_any, let, plain, spans
 from . import scoring
@@ -108,8 +108,9 @@ def candidates(text: Column, cfg: ScanConfig, explain: bool = False) -> Column:
     if cfg.wants("ADDRESS"):
         parts.append(F.array_compact(F.array(address_match(text))))
     if cfg.wants("CUSTOM_PATTERN"):
+        read = text if cfg.custom_text is None else F.left(text, F.lit(cfg.custom_text))
         for i, c in enumerate(cfg.custom):
-            seen = F.filter(spans(F.left(text, F.lit(CUSTOM_TEXT)), _regex(c.regex)), lambda x: F.length(x["value"]) > 0)
+            seen = F.filter(spans(read, _regex(c.regex)), lambda x: F.length(x["value"]) > 0)
             said = F.array(F.lit(f"custom pattern: {c.name}"), F.lit("user-defined pattern matched"))
             parts.append(F.transform(seen, _custom(len(PATTERNS) + 1 + i, round(min(0.99, c.confidence), 4), said)))
     return F.concat(*parts) if parts else F.array().cast(_NONE)
