@@ -344,6 +344,19 @@ def test_html_template_in_declared_articles(spark, monkeypatch):
     assert all(bare[i] == f"News {i}\nOwn text {i}\nSign up for our letters" for i in range(8))
 
 
+def test_html_names_do_not_exclude_the_article():
+    article = "<article><h1>Title</h1><p>Body</p></article>"
+    for around in (
+        '<body class="has-sidebar">{}', '<html class="cookie modal"><body class="menu">{}', '<main class="no-sidebar"><h1>Title</h1><p>Body</p></main>', '<article class="post comments-open"><h1>Title</h1><p>Body</p></article>',
+        '<article class="post sponsored"><h1>Title</h1><p>Body</p></article>', '<div class="with-menu">{}</div>', '<div class="overlay"><div class="widget">{}</div></div>', '<body class="page-header has-header">{}',
+        '<div class="widget">{}</div><div class="sidebar"><p>Aside</p></div>', '<article class="related"><p>Teaser</p></article>{}', '<div class="related"><article>Teaser</article></div>{}',
+    ):
+        assert html_extract.main_text(around.replace("{}", article)) == "Title\nBody", around
+    for other in ("site-nav", "cookie-notice", "post-comments", "ad", "ad-slot-3", "x related-posts"):
+        assert html_extract.main_text(f'<div class="{other}"><p>Other</p></div><div><p>Body</p></div>') == "Body", other
+    assert html_extract.main_text('<div hidden><article>Not shown</article></div><p>Body</p>') == "Body"
+
+
 def test_tree_matching():
     one = "0 #\n1 body\n2 nav\n2 div\n3 p\n2 footer"
     other = "0 #\n1 body\n2 div\n3 p\n3 table\n2 aside\n2 footer"

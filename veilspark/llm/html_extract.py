@@ -42,6 +42,12 @@ _NOT_CONTENT_NAMES = frozenset(
     "nav navbar navigation menu sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond footer breadcrumb breadcrumbs pagination pager search toolbar widget masthead copyright skip".split()
 )
+#: Names made of two words, as in site-nav or cookie-notice: a class is one name as a whole, so has-sidebar is none of these.
+_PLACES = "site page main top bottom left right primary secondary global mobile header footer post entry article user".split()
+_PLACED = "nav navbar navigation menu sidebar footer banner breadcrumb breadcrumbs comments share sharing pagination search newsletter".split()
+_THINGS = "cookie cookies gdpr consent ad ads advert sponsor promo newsletter subscribe signup login share sharing social related comment comments search nav menu sidebar popup modal".split()
+_PARTS = "notice banner bar box container list links link form widget popup modal overlay posts articles items item section area block buttons icons slot unit message consent".split()
+_NOT_CONTENT_NAMES |= {a + b for first, second in ((_PLACES, _PLACED), (_THINGS, _PARTS)) for a in first for b in second}
 _MAIN_NAMES = frozenset("articlebody entrycontent postcontent articlecontent maincontent storybody".split())
 _CLOSED_BY_BLOCK = "p"
 _SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "thead", "tbody", "tfoot"), "option": ()}
@@ -159,21 +165,31 @@ class Page:
         return {k: "\n".join(v) for k, v in texts.items()}
 
 
+def _kind(tag: str) -> str:
+    return "x" if tag in _NOT_CONTENT_TAGS else "m" if tag in ("article", "main") else "h" if tag == "header" else ""
+
+
 @functools.lru_cache(maxsize=20_000)
 def _described(tag: str, attributes: str) -> tuple[str, str]:
-    """The label of an element, and its kind: "x" not content, "m" main content, "h" a header, "" other."""
+    """The label of an element, and its kind: "x" not content, "n" not content by its names alone, "m" main content, "w" main
+    content with such names, "h" a header, "" other."""
     if not attributes.strip("/ "):
-        return tag, "x" if tag in _NOT_CONTENT_TAGS else "m" if tag in ("article", "main") else "h" if tag == "header" else ""
+        return tag, _kind(tag)
     given = {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     names = f"{given.get('id', '')} {given.get('class', '')}"
     words, role = set(_NAME.findall(names)), given.get("role", "")
     joined = {"".join(_NAME.findall(x)) for x in names.split()}
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""))
-    label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
     main = tag in ("article", "main") or role in ("main", "article") or given.get("itemprop") == "articlebody" or bool(joined & _MAIN_NAMES)
-    if hidden or tag in _NOT_CONTENT_TAGS or role in _NOT_CONTENT_ROLES or words & _NOT_CONTENT_NAMES:
-        return f"{label}!", "x"
-    return label, "m" if main else "h" if tag == "header" or "header" in words else ""
+    named = bool(joined & _NOT_CONTENT_NAMES) and tag not in ("html", "body")
+    if hidden or tag in _NOT_CONTENT_TAGS or role in _NOT_CONTENT_ROLES:
+        kind = "x"
+    elif main or named:
+        kind = ("w" if named else "m") if main else "n"
+    else:
+        kind = "h" if tag == "header" or "header" in words and tag not in ("html", "body") else ""
+    label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
+    return label if kind == _kind(tag) else f"{label}!{kind}", kind
 
 
 def _tree(skeleton: str) -> tuple[list[str], list[list[int]]]:
@@ -243,15 +259,44 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _regions(page: Page) -> tuple[list[bool], list[bool], list[bool]]:
+    """Of every slot, whether it is excluded, in the declared article, in a header.
+
+    Names are the weakest sign. An article or main element with the name of something else is the declared article where no other
+    is, and where a declared article stands in an element excluded by its names alone, that element is not excluded.
+    """
+
+    def spread(main: str, lifted: set[int]) -> tuple[list[bool], list[bool], list[bool]]:
+        n = len(page.labels)
+        skip, inside, header = [False] * n, [False] * n, [False] * n
+        for slot in range(1, n):  # parents come before their children
+            up, kind = page.parents[slot], page.kinds[slot]
+            skip[slot] = skip[up] or kind == "x" or (kind == "n" and slot not in lifted)
+            inside[slot] = inside[up] or (kind != "" and kind in main and not skip[slot])
+            header[slot] = header[up] or kind == "h"
+        return skip, inside, header
+
+    def holders() -> set[int]:
+        found: set[int] = set()
+        for slot, kind in enumerate(page.kinds):
+            while kind in ("m", "w") and slot > 0 and slot not in found:
+                found.add(slot)
+                slot = page.parents[slot]
+        return found
+
+    for main, lift in (("m", False), ("mw", False), ("mw", True)):
+        regions = skip, inside, _ = spread(main, holders() if lift else set())
+        if any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks):
+            return regions
+    return spread("", set())
+
+
 def main_text(html: str | None, reference: str | None = None, constant: dict[int, int] | None = None) -> str:
     """The article of a page. reference and constant are the host's template, or None for a host without one."""
     if not html:
         return ""
     page = Page(html)
-    skip, inside, header = [False] * len(page.labels), [False] * len(page.labels), [False] * len(page.labels)
-    for slot in range(1, len(page.labels)):  # parents come before their children
-        up, kind = page.parents[slot], page.kinds[slot]
-        skip[slot], inside[slot], header[slot] = skip[up] or kind == "x", inside[up] or (kind == "m" and not skip[up]), header[up] or kind == "h"
+    skip, inside, header = _regions(page)
     template: set[int] = set()
     if constant:
         skeleton, number = page.skeleton()
