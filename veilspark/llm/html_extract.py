@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction: pages of a host are aligned by simple tree matching.
 
 A page becomes a skeleton: its block elements, where siblings of the same label are one repeated slot. The most frequent
-skeleton of a host is the reference; every other skeleton is aligned with it by simple tree matching (Yang, 1991). A slot whose
-text is the same on most pages of the host is template, also inside a declared article, a slot whose text varies can be content.
+skeleton of each layout of a host is a reference; every page is aligned with the reference most like it by simple tree matching
+(Yang, 1991). A text that most pages have in the same slot is template, also inside a declared article; the other texts of a slot,
+repeated or not, can be content.
 What varies and still is no article (menus, adverts, notices, comments) is told by the roles that elements declare, by standing
 outside the declared article, and by the share of linked text.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 import functools
 import html as htmllib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import xxhash
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, maybe_broadcast
 
-#: A slot is template when so large a share of a host's pages agrees on its text, of this many pages at least.
+#: A text in a slot is template when it is on so large a share of the pages aligned to the slot, of this many pages at least.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
+#: Skeletons with so large a share of common nodes are one layout.
+SAME_LAYOUT = 0.7
 #: Outside a declared article, a block is a menu when so much of its text is linked.
 LINKED = 0.5
 
@@ -158,11 +161,9 @@ class Page:
             todo += [(c, depth + 1) for c in reversed(self.children[slot].values())]
         return "\n".join(lines), number
 
-    def slot_texts(self) -> dict[int, str]:
-        texts: dict[int, list[str]] = {}
-        for slot, text, _, _ in self.blocks:
-            texts.setdefault(slot, []).append(text)
-        return {k: "\n".join(v) for k, v in texts.items()}
+    def slot_digests(self) -> list[tuple[int, int]]:
+        """Every slot with the digest of each different text in it: a repeated slot can hold template and content side by side."""
+        return list(dict.fromkeys((slot, _digest(text)) for slot, text, _, _ in self.blocks))
 
 
 def _kind(tag: str) -> str:
@@ -188,7 +189,7 @@ def _described(tag: str, attributes: str) -> tuple[str, str]:
         kind = ("w" if named else "m") if main else "n"
     else:
         kind = "h" if tag == "header" or "header" in words and tag not in ("html", "body") else ""
-    label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
+    label = f"{tag}.{'.'.join(sorted(words))}" if words and tag not in ("html", "body") else tag
     return label if kind == _kind(tag) else f"{label}!{kind}", kind
 
 
@@ -291,26 +292,25 @@ def _regions(page: Page) -> tuple[list[bool], list[bool], list[bool]]:
     return spread("", set())
 
 
-def main_text(html: str | None, reference: str | None = None, constant: dict[int, int] | None = None) -> str:
-    """The article of a page. reference and constant are the host's template, or None for a host without one."""
+def main_text(html: str | None, references: Sequence[str] | None = None, constant: Iterable[Mapping] | None = None) -> str:
+    """The article of a page. references and constant are the host's wrappers as in ``induce``, or None for a host without any."""
     if not html:
         return ""
     page = Page(html)
     skip, inside, header = _regions(page)
-    template: set[int] = set()
-    if constant:
+    template: set[tuple[int, str]] = set()
+    if references is not None and constant is not None:
         skeleton, number = page.skeleton()
-        partner = align(skeleton, reference or "")
-        for slot, text in page.slot_texts().items():
-            known = constant.get(partner.get(number[slot], -1))
-            if known is not None and known == _digest(text):
-                template.add(slot)
+        layout = nearest(skeleton, tuple(references))
+        partner = align(skeleton, references[layout])
+        known = {(c["slot"], c["digest"]) for c in constant if c["layout"] == layout}
+        template = {(slot, text) for slot, text, _, _ in page.blocks if (partner.get(number[slot], -1), _digest(text)) in known}
     shown = [b for b in page.blocks if not skip[b[0]] and not (header[b[0]] and not (inside[b[0]] and b[3]))]
     declared = [b for b in shown if inside[b[0]]]
     # The wrapper takes template out of a declared article too; where nothing else is in it, its pages are copies and keep it.
-    kept = [text for slot, text, _, _ in declared if slot not in template] or [text for _, text, _, _ in declared]
+    kept = [text for slot, text, _, _ in declared if (slot, text) not in template] or [text for _, text, _, _ in declared]
     if not any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks):
-        kept = [text for slot, text, linked, _ in shown if slot not in template and linked <= LINKED * len(text)]
+        kept = [text for slot, text, linked, _ in shown if (slot, text) not in template and linked <= LINKED * len(text)]
     return "\n".join(kept)
 
 
@@ -321,34 +321,100 @@ def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if html:
                 page = Page(html)
                 skeleton, number = page.skeleton()
-                texts = page.slot_texts()
-                rows.append((host_of(url), skeleton, [number[s] for s in texts], [_digest(t) for t in texts.values()]))
-        yield pd.DataFrame(rows, columns=["host", "skeleton", "slots", "digests"])
+                found = page.slot_digests()
+                whole = _digest("\n".join(text for _, text, _, _ in page.blocks))
+                rows.append((host_of(url), whole, skeleton, [number[s] for s, _ in found], [d for _, d in found]))
+        yield pd.DataFrame(rows, columns=["host", "page", "skeleton", "slots", "digests"])
+
+
+@functools.lru_cache(maxsize=4096)
+def _paths(skeleton: str) -> frozenset[int]:
+    """The nodes of a skeleton, each told by the labels from the root to it; no two siblings have the same label."""
+    found, path = [], []
+    for line in skeleton.split("\n"):
+        depth, _, label = line.partition(" ")
+        del path[int(depth) :]
+        path.append(hash((path[-1] if path else 0, label)))
+        found.append(path[-1])
+    return frozenset(found)
+
+
+def _likeness(one: str, other: str) -> float:
+    a, b = _paths(one), _paths(other)
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+@functools.lru_cache(maxsize=4096)
+def nearest(skeleton: str, references: tuple[str, ...]) -> int:
+    """The layout of a skeleton: the number of the reference most like it, the first one of equals."""
+    return max(range(len(references)), key=lambda i: (_likeness(skeleton, references[i]), -i))
+
+
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The references of each host from its skeletons, which come host by host, the most frequent first.
+
+    A skeleton unlike all references so far is one more. References met by too few pages go, but for the first one of a host
+    with enough pages altogether.
+    """
+    host, found, sizes = None, [], []
+
+    def done() -> list[tuple[str, list[str]]]:
+        kept = [r for r, n in zip(found, sizes, strict=True) if n >= CONSTANT_PAGES] or found[:1]
+        return [(host, kept)] if sum(sizes) >= CONSTANT_PAGES else []
+
+    for pdf in batches:
+        rows = []
+        for own, skeleton, n in zip(pdf["host"], pdf["skeleton"], pdf["n"], strict=True):
+            if own != host:
+                rows += done()
+                host, found, sizes = own, [], []
+            at = nearest(skeleton, tuple(found)) if found else 0
+            if not found or _likeness(skeleton, found[at]) < SAME_LAYOUT:
+                at = len(found)
+                found.append(skeleton)
+                sizes.append(0)
+            sizes[at] += n
+        yield pd.DataFrame(rows, columns=["host", "references"])
+    yield pd.DataFrame(done(), columns=["host", "references"])
+
+
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for host, skeleton, references, n in zip(pdf["host"], pdf["skeleton"], pdf["references"], pdf["n"], strict=True):
+            layout = nearest(skeleton, tuple(references))
+            rows += [(host, layout, slot, n) for slot in align(skeleton, references[layout]).values()]
+        yield pd.DataFrame(rows, columns=["host", "layout", "slot", "pages"])
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for host, skeleton, reference, slots, digests in zip(pdf["host"], pdf["skeleton"], pdf["reference"], pdf["slots"], pdf["digests"], strict=True):
-            partner = align(skeleton, reference)
-            rows += [(host, partner[s], d) for s, d in zip(slots, digests, strict=True) if s in partner]
-        yield pd.DataFrame(rows, columns=["host", "slot", "digest"])
+        for host, skeleton, references, slots, digests in zip(pdf["host"], pdf["skeleton"], pdf["references"], pdf["slots"], pdf["digests"], strict=True):
+            layout = nearest(skeleton, tuple(references))
+            partner = align(skeleton, references[layout])
+            rows += [(host, layout, partner[s], d) for s, d in zip(slots, digests, strict=True) if s in partner]
+        yield pd.DataFrame(rows, columns=["host", "layout", "slot", "digest"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """The wrapper of every host: ``host, reference`` skeleton and the map ``constant`` of its template slots to their text digests.
+    """The wrappers of every host: ``host, references``, a skeleton for each layout, and ``constant``, the digests of template texts
+    with their layout and slot.
 
-    All pages of a host count. Counts are taken before rows move, so a host with a third of all pages is a few rows.
+    All pages of a host count, but pages with the same text once, so that copies do not make an article template. Counts are taken
+    before rows move, so a host with a third of all pages is a few rows.
     """
-    shapes = durable(pages.select("url", "html").mapInPandas(_skeletons, "host string, skeleton string, slots array<int>, digests array<long>"))
-    counts = shapes.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
-    hosts = durable(counts.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= CONSTANT_PAGES))
-    seen = shapes.join(maybe_broadcast(hosts.select("host", "reference")), "host").mapInPandas(_aligned, "host string, slot int, digest long")
-    agreed = seen.groupBy("host", "slot", "digest").agg(F.count(F.lit(1)).alias("n"))
-    constant = agreed.join(hosts, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    best = constant.groupBy("host", "slot").agg(F.max_by("digest", F.struct("n", "digest")).alias("digest"))
-    maps = best.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "digest"))).alias("constant"))
-    return hosts.select("host", "reference").join(maps, "host")
+    key = ["host", "layout", "slot"]
+    shapes = durable(pages.select("url", "html").mapInPandas(_skeletons, "host string, page long, skeleton string, slots array<int>, digests array<long>").dropDuplicates(["host", "page"]))
+    counts = durable(shapes.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n")))
+    ordered = counts.repartition("host").sortWithinPartitions("host", F.desc("n"), "skeleton")
+    hosts = durable(ordered.mapInPandas(_leaders, "host string, references array<string>"))
+    known = maybe_broadcast(hosts)
+    nodes = counts.join(known, "host").mapInPandas(_nodes, "host string, layout int, slot int, pages long").groupBy(key).agg(F.sum("pages").alias("pages"))
+    seen = shapes.join(known, "host").mapInPandas(_aligned, "host string, layout int, slot int, digest long")
+    agreed = seen.groupBy(*key, "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONSTANT_SHARE * CONSTANT_PAGES)
+    constant = agreed.join(nodes.where(F.col("pages") >= CONSTANT_PAGES), key).where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    return hosts.join(constant.groupBy("host").agg(F.collect_list(F.struct("layout", "slot", "digest")).alias("constant")), "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -360,11 +426,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     wrappers = durable(induce(pages))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit("")).alias("host"))
-    met = keyed.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", "html", "reference", "constant")
+    met = keyed.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", "html", "references", "constant")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(h, r, dict(c) if c is not None else None) for h, r, c in zip(pdf["html"], pdf["reference"], pdf["constant"], strict=True)]
+            texts = [main_text(h, r, c) for h, r, c in zip(pdf["html"], pdf["references"], pdf["constant"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return met.mapInPandas(read, "page_id long, url string, text string, n_chars long")
