@@ -313,6 +313,19 @@ def test_language_filter_returns_all_languages():
     assert (masks[:500] == 3).all() and (masks[500:] & 1 == 1).all() and (masks[500:] & 2 > 0).mean() < 0.01
 
 
+def test_language_filter_holds_flat_scripts(spark):
+    """Two dense languages with over 100,000 grams do not push out a third whose grams are all rare."""
+    rng = np.random.default_rng(1)
+
+    def text(first, n):
+        return "".join(map(chr, rng.integers(first, first + 2000, n)))
+
+    dense, other, flat = text(0x4E00, 60_000), text(0xAC00, 60_000), text(0x6000, 150_000)
+    model = language_id.train(spark.createDataFrame([(dense, "a")] * 4 + [(other, "b"), (flat, "c")], "text string, lang string"))
+    langs, scores = model.decide([dense[:300], other[:300], flat[:300], flat[-300:]])
+    assert langs == ["a", "b", "c", "c"] and (scores > 0.9).all() and (model.false_rate < 0.05).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div class="logo">Site</div></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div id="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First   para<br>goes&nbsp;on<p><b>Second <i>one</b></i><aside>Related</aside><div class="ad">Buy</div>

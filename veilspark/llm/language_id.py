@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: N-grams that the filter holds at most, the most frequent ones over all languages; bounds the model that is broadcast.
-FILTER_GRAMS = 100_000
-#: Positions of the filter and probes per n-gram.
-POSITIONS, PROBES = 1 << 20, 4
+#: Positions of the filter at least, for each n-gram of the language with most of them, and probes per n-gram.
+POSITIONS, SPACE, PROBES = 1 << 20, 8, 4
 #: A language contains an n-gram that it uses at least so often, compared with the language that uses it most.
 RATIO = 0.5
 #: Characters that are turned into arrays at once.
@@ -93,23 +91,36 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 class LanguageFilter:
-    """The bit-sliced filter: ``table[position, word]`` has bit l of word w set when language 64 w + l has a gram there."""
+    """The bit-sliced filter: ``table[position, word]`` has bit l of word w set when language 64 w + l has a gram there.
 
-    def __init__(self, langs: list[str], usual: int, lang_of: np.ndarray, gram: np.ndarray):
+    It is sized for ``most`` grams of one language, so that no gram has to stay out; words are as wide as the languages need.
+    """
+
+    def __init__(self, langs: list[str], usual: int, lang_of: np.ndarray | None = None, gram: np.ndarray | None = None, most: int = 0):
         self.langs, self.usual = langs, usual
-        self.table = np.zeros((POSITIONS, max(1, -(-len(langs) // 64))), np.uint64)
+        if lang_of is not None and len(lang_of):
+            most = max(most, int(np.bincount(lang_of).max()))
+        width = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= t(0).itemsize * 8), np.uint64)
+        self.table = np.zeros((max(POSITIONS, 1 << (SPACE * most - 1).bit_length()), max(1, -(-len(langs) // 64))), width)
+        if lang_of is not None:
+            self.add(lang_of, gram)
+
+    def add(self, lang_of: np.ndarray, gram: np.ndarray) -> None:
+        bits = (np.uint64(1) << (lang_of % 64).astype(np.uint64)).astype(self.table.dtype)
         for at in self._positions(gram):
-            np.bitwise_or.at(self.table, (at, lang_of // 64), np.uint64(1) << (lang_of % 64).astype(np.uint64))
-        fill = np.array([((self.table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
-        self.false_rate = fill**PROBES
+            np.bitwise_or.at(self.table, (at, lang_of // 64), bits)
+        self.__dict__.pop("false_rate", None)
+
+    @functools.cached_property
+    def false_rate(self) -> np.ndarray:
+        return np.array([np.count_nonzero(self.table[:, i // 64] & self.table.dtype.type(1 << i % 64)) / len(self.table) for i in range(len(self.langs))]) ** PROBES
 
-    @staticmethod
-    def _positions(gram: np.ndarray) -> Iterator[np.ndarray]:
+    def _positions(self, gram: np.ndarray) -> Iterator[np.ndarray]:
         x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
         for i in range(PROBES):
-            yield ((a + np.uint64(i) * b) % np.uint64(POSITIONS)).astype(np.int64)
+            yield ((a + np.uint64(i) * b) % np.uint64(len(self.table))).astype(np.int64)
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
         """The languages containing each gram, as bit masks."""
@@ -132,8 +143,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, max_grams: int = FILTER_GRAMS) -> LanguageFilter | None:
-    """Learn from every text with a language. Counts cover all of them; the filter takes the ``max_grams`` most used memberships."""
+def train(docs: DataFrame) -> LanguageFilter | None:
+    """Learn from every text with a language. The filter holds every gram of every language that ``RATIO`` lets contain it."""
     counts = durable(count_grams(docs))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
@@ -141,9 +152,18 @@ def train(docs: DataFrame, max_grams: int = FILTER_GRAMS) -> LanguageFilter | No
     langs = sorted(totals)
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(sizes) if len(langs) < 20_000 else sizes, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    most = F.max("rate").over(Window.partitionBy("gram"))
-    chosen = rates.withColumn("most", most).where(F.col("rate") >= RATIO * F.col("most")).orderBy(F.desc("most"), "gram", "lang").limit(max_grams).select("lang", "gram").toPandas()
-    return LanguageFilter(langs, langs.index(max(langs, key=lambda x: (totals[x], x))), np.array([langs.index(x) for x in chosen["lang"]], np.int64), chosen["gram"].to_numpy())
+    chosen = durable(rates.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= RATIO * F.col("most")).select("lang", "gram"))
+    number = {lang: i for i, lang in enumerate(langs)}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"langs": [pdf["lang"].map(number).to_numpy(np.int32).tobytes()], "grams": [pdf["gram"].to_numpy(np.int64).tobytes()]})
+
+    most = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    model = LanguageFilter(langs, number[max(langs, key=lambda x: (totals[x], x))], most=most)
+    for r in chosen.mapInPandas(pack, "langs binary, grams binary").toLocalIterator():
+        model.add(np.frombuffer(r["langs"], np.int32), np.frombuffer(r["grams"], np.int64))
+    return model
 
 
 def identify(docs: DataFrame) -> DataFrame:
