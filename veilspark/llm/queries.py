@@ -32,19 +32,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert all documents under one tokenizer version, replay that batch, then revise and delete: the totals by key.
+    """Insert all documents under one tokenizer version, then revise, delete and insert anew, every batch sent twice: the totals by key.
 
-    The second batch moves the documents of languages other than English to version 2 of the tokenizer; the third deletes those without
-    text. Every batch is sent twice. The state lives in the shared folder of this run.
+    The first batch counts an end id with every document; the second takes it out of all counts and moves the documents of languages
+    other than English to version 2 of the tokenizer. The third deletes a third of the documents, with the text they have, and those of
+    version 2 without text; the fourth inserts the third again, but for the latter. The state lives in the shared folder of this run.
     """
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     counts = durable(token_counts.count_tokens(docs, BPE, "byte_bpe_50k/1"))
-    moved = counts.where("coalesce(lang, '') <> 'en'")
+    ended = counts.withColumn("n_tokens", F.col("n_tokens") + 1)
+    moved = F.expr("coalesce(lang, '') <> 'en'")
+    revised = counts.withColumn("tokenizer_version", F.when(moved, "byte_bpe_50k/2").otherwise(F.col("tokenizer_version")))
+    third, empty = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, F.lit(False)), moved & (F.col("n_bytes") == 0)
     batches = {
-        "0001": token_counts.inserts(counts),
-        "0002": token_counts.revisions(moved, moved.withColumn("tokenizer_version", F.lit("byte_bpe_50k/2"))),
-        "0003": token_counts.deletes(moved.where("n_bytes = 0").withColumn("tokenizer_version", F.lit("byte_bpe_50k/2"))),
+        "0001": token_counts.inserts(ended),
+        "0002": token_counts.revisions(ended, revised),
+        "0003": token_counts.deletes(revised.where(third | empty)),
+        "0004": token_counts.inserts(revised.where(third & ~empty)),
     }
     rollup = token_counts.Rollup(spark, f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid.uuid4().hex}")
     for batch_id, changes in batches.items():
