@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only when its counted rows stay under this; beyond it a shuffled join is planned.
-BROADCAST_ROWS = 20_000
+#: A table is broadcast only when its counted rows and measured bytes stay under these; beyond them a shuffled join is planned.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
+#: A key is hot when it holds more than one of so many parts of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; set an own one only where the session has none (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; set an own one only for a local session that has none (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
 
 
@@ -25,6 +30,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: rows of files keep their place, so ``keyed`` copies nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,6 +63,20 @@ def keyed(df: DataFrame, name: str = ROW) -> DataFrame:
         return durable(df).withColumn(name, F.monotonically_increasing_id().cast("string"))
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; ``df`` should be durable, so that the count is cheap."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only after counting rows and measuring bytes; ``df`` should be durable, so that this is cheap."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    n, most = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (most or 0) <= BROADCAST_BYTES else df
+
+
+def join_counted(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """Left join of ``rows`` with ``named``, which has one row for each key and in ``count`` how many of the rows have it.
+
+    Hot keys are joined where their rows are stored, by a broadcast of fewer than ``HOT_KEYS`` rows; rows without a key stay where
+    they are as well; only the others are shuffled. Both tables should be durable.
+    """
+    hot = F.broadcast(durable(named.where(F.col(count) * HOT_KEYS > rows.count())))
+    marked = rows.join(hot.select(key, F.lit(True).alias("_hot")), key, "left")
+    still = F.col("_hot").isNotNull() | F.col(key).isNull()
+    return marked.where(still).drop("_hot").join(hot, key, "left").unionByName(marked.where(~still).drop("_hot").join(named, key, "left"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, numbered
+from .common import durable, join_counted, numbered
 
 #: Digests expected in a bucket of the index; bounds the memory of a build and of a lookup.
 BUCKET_DIGESTS = 4096
@@ -173,7 +173,7 @@ def exact_groups(docs: DataFrame, history: Column, keep: tuple[str, ...] = ()) -
     buckets = max(1, -(-rows.count() // BUCKET_DIGESTS))
     index = build_index(rows.where("_old"), buckets)
     groups = index.groupBy("bucket").cogroup(_grouped(rows.where("NOT _old"), buckets).groupBy("bucket")).applyInPandas(_lookup, _GROUPS)
-    joined = rows.join(groups, "digest")
+    joined = join_counted(rows, durable(groups), "digest", "group_size")
     return joined.select(
         *keep,
         "doc_id",

@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node, component`` for every node of the edges ``a, b``; a component is named by its smallest node.
 
     Both steps keep the number of edges linear in the nodes, and the graph is a set of stars after a logarithmic number of
-    rounds; each round is written to the shared folder. Self-loops are ignored; an empty table gives no rows.
+    rounds; each round is written to the shared folder. Self-loops are ignored; an empty table gives no rows. More than ``rounds``
+    rounds, which no graph that fits on disks needs, are an error rather than a partial result.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -38,4 +39,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
+    else:
+        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
