@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import exact_dedup, near_dedup, packing, pii, quality
-from veilspark.llm.common import ROW, durable, keyed, table
+from veilspark.llm.common import ROW, keyed, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,10 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is checkpointed before the next stage reads it."""
+    """Apply all stages to documents; each result is written as Parquet to the shared folder and read again by the next stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = durable(docs)
+            docs = stored(docs)
     return docs
