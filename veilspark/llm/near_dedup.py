@@ -40,7 +40,7 @@ FREE = 256
 #: Agreeing tokens that make a candidate: 4.5 standard deviations under the similarity 0.8.
 NEAR = 26
 #: Sets and shingles that one confirming task holds at most, unless one set alone is larger; hubs that each part meets.
-BLOCK_SETS, BLOCK_SHINGLES, HUBS = 1000, 1_000_000, 8
+BLOCK_SETS, BLOCK_SHINGLES, HUBS = 2000, 1_000_000, 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, size=(2, TOKENS), dtype=np.uint64)
