@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.config import ScanConfig, accepted_patterns, normalize_type
+from veilspark.config import ScanConfig, accepted_patterns, for_java, judged_patterns, normalize_type
 from veilspark.operators import scan
-from veilspark.operators.detect import detect
+from veilspark.operators.detect import candidates, detect, resolve
 
 CASES = [
     ("Aadhaar Number: 4829 1736 4926", None, [("AADHAAR", 0.99)]),
@@ -96,3 +96,40 @@ def test_summaries_and_redaction(spark):
     assert (rows[2].total_detections, rows[2].privacy_score, rows[2].client_score) == (0, 100.0, 100)
     clean = df.where("id = 1").select(scan.redact_text(F.col("text"), ScanConfig.of(["EMAIL", "CREDIT_CARD"])).alias("t")).first().t
     assert clean == "email a•••@b••.••• card XXXX XXXX XXXX 1111"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (r"(?P<y>EMP)-\d+(?P=y)", r"(EMP)-\d+(?:\1)"), ("(?:a|b)*c?", None), ("(a+)+$", None), ("((ab)?c){2,}", None), ("(?:a|b){3}", "(?:a|b){3}"), ("(?:ab)+c*", "(?:ab)+c*"),
+        ("(?:a|b){1,500}", None), (r"[)(|*\]]+x", r"[)(|*\]]+x"), (r"[[&]a\Z", r"[\[\&]a\z"), (r"\((x|y)\)*", r"\((x|y)\)*"), ("(?i)ab(?=c)", "(?i)ab(?=c)"),
+    ],
+)
+def test_patterns_for_java(source, want):
+    assert for_java(source) == want
+
+
+def test_bad_patterns_are_named(spark):
+    specs = [{"name": "loop", "regex": "(?:a|b)*"}, {"name": "open", "regex": "([x"}, {"name": "", "regex": "x"}, {"name": "ok", "regex": "x|y"}, {"name": "cond", "regex": "(a)?(?(1)b|c)"}]
+    good, bad = judged_patterns(specs)
+    assert [p.name for p in good] == ["ok"] and dict(bad) == {"loop": "a repeated group has choices", "open": "not a pattern", "": "no name", "cond": "not a pattern"}
+
+
+def test_many_matches_keep_their_places(spark):
+    """Offsets run over blocks of matches, and redaction over all of them."""
+    text = " ".join(f"u{i}@x.io, é😀" for i in range(500))
+    row = spark.createDataFrame([(text,)], "text string").select(detect(F.col("text"), ScanConfig.of(["email"])).alias("m"), scan.redact_text(F.col("text"), ScanConfig.of(["email"])).alias("r")).first()
+    assert [m.value for m in row.m] == [f"u{i}@x.io" for i in range(500)] and all(m.value == text[m.start : m.end] for m in row.m)
+    assert row.r == " ".join("u•••@x••.•••, é😀" for _ in range(500))
+
+
+def test_overlaps_against_plain_greedy(spark):
+    """Runs of overlapping candidates are resolved as one greedy pass over all of them would."""
+    text = " ".join(f"ABCD0{i:06d} 4111 1111 1111 1111 x{i}@okaxis.io +91 98765 4{i:04d} 1.1.1.{i % 250}" for i in range(60))
+    cfg = ScanConfig()
+    row = spark.createDataFrame([(text,)], "text string").select(candidates(F.col("text"), cfg).alias("c"), resolve(candidates(F.col("text"), cfg)).alias("m")).first()
+    kept = []
+    for x in sorted(row.c, key=lambda x: (x.neg, x.shorter, x.ord, x.start)):
+        if not any(k.start < x.end and x.start < k.end and (k.type == x.type or "ADDRESS" not in (k.type, x.type)) for k in kept):
+            kept.append(x)
+    assert len(kept) > 200 and [(m.start, m.type) for m in row.m] == sorted((m.start, m.type) for m in kept)

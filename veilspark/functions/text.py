@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Elements of an array over which a running value is carried at once.
+BLOCK = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,6 +18,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quoted(text: str) -> str:
+    """A string as a literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: Column, name: str, body: str) -> Column:
+    """``body``, an SQL expression, with ``value`` evaluated once under ``name``. Large expressions are analysed much faster as one SQL text."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
+def bound_sql(value: str, name: str, body: str) -> str:
+    """``bound`` as SQL."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running_sql(items: str, zero: str, step: str) -> str:
+    """For each item the whole number that ``step``, SQL over (a, x), has made of ``zero`` by the items before it.
+
+    Arrays are copied as they grow, so long ones are taken in blocks: the work is that of n * sqrt(n) at most, not of n * n.
+    """
+    scan = lambda items, zero: f"aggregate({items}, named_struct('at', {zero}, 'out', CAST(array() AS array<int>)), (s, x) -> named_struct('at', {step.format(a='s.at')}, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    heads = f"aggregate(bs, named_struct('at', {zero}, 'out', CAST(array() AS array<int>)), (s, b) -> named_struct('at', aggregate(b, s.at, (c, x) -> {step.format(a='c')}), 'out', concat(s.out, array(s.at))), s -> s.out)"
+    blocks = f"transform(sequence(0, (size(items) - 1) div {BLOCK}), i -> slice(items, i * {BLOCK} + 1, {BLOCK}))"
+    long = bound_sql(blocks, "bs", f"flatten(zip_with(bs, {heads}, (b, z) -> {scan('b', 'z')}))")
+    return bound_sql(items, "items", f"CASE WHEN size(items) <= {BLOCK} THEN {scan('items', zero)} ELSE {long} END")
+
+
 def plain(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
@@ -29,9 +57,9 @@ def has_any(text: Column, terms: Iterable[str]) -> Column:
     return text.rlike("|".join(map(re.escape, short))) if short else F.lit(False)
 
 
-def has_any_long(text: Column, terms: Iterable[str]) -> Column:
-    """``has_any`` for long texts: plain searches, of which the first hit ends the rest."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+def any_of_sql(text: str, terms: Iterable[str]) -> str:
+    """``has_any`` for long texts, as SQL: plain searches, of which the first hit ends the rest."""
+    return "(" + " OR ".join(f"contains({text}, {quoted(t)})" for t in terms) + ")"
 
 
 def first_of(text: Column, terms: Iterable[str]) -> Column:
@@ -45,18 +73,21 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, low + 1, F.greatest(F.least(end, F.length(text)) - low, F.lit(0)))
 
 
+def spans_sql(text: str, regex: str, group: int = 0) -> str:
+    """``spans`` as SQL over the name of a text."""
+    r = quoted(regex)
+    named = "w" if group == 0 else "n"
+    whole = f"zip_with(regexp_extract_all({text}, {r}, 0), split({text}, {r}, -1), (w, g) -> named_struct('w', w, 'n', w, 'g', length(g)))"
+    if group:
+        whole = f"zip_with({whole}, regexp_extract_all({text}, {r}, {group}), (x, n) -> named_struct('w', x.w, 'n', {named}, 'g', x.g))"
+    ends = "(x, at) -> named_struct('start', at + x.g + length(x.w) - length(x.n), 'end', at + x.g + length(x.w), 'value', x.n)"
+    placed = f"zip_with(parts, {running_sql('parts', '0', '{a} + x.g + length(x.w)')}, {ends})"
+    return bound_sql(f"filter({whole}, x -> x.w IS NOT NULL)", "parts", placed)
+
+
 def spans(text: Column, regex: str, group: int = 0) -> Column:
     """All matches as ``SPAN``, in order. Splitting yields the gaps between matches, so lengths add up to offsets.
 
     With a group, the span is the group's, which must end where the match ends.
     """
-    gaps, whole = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    named = whole if group == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    parts = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), named.alias("named")), lambda x: x["whole"].isNotNull())
-
-    def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.length(x["gap"]) + F.length(x["whole"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct((end - F.length(x["named"])).alias("start"), end.alias("end"), x["named"].alias("value")))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    return bound(text, "t", spans_sql("t", regex, group))

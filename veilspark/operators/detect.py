@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import validators
-from ..functions.text import between, has_any, let, plain, spans
+from ..functions.text import between, bound, bound_sql, has_any, let, plain, quoted, running_sql, spans, spans_sql
 from . import scoring
 from .catalog import PATTERNS, SEVERITY, Pattern
 
@@ -35,12 +35,18 @@ def _check(pattern: Pattern, cfg: ScanConfig) -> Callable[[Column], Column] | No
     return {None: None, "luhn": validators.luhn, "ipv4": validators.ipv4, "verhoeff": lambda v: validators.verhoeff(v, cfg.verhoeff_table)}[pattern.check]
 
 
+def _constant(ord_: int, pattern: Pattern) -> str:
+    """All matches of a pattern whose confidence no context can move, as SQL over the text t."""
+    match = f"""named_struct('neg', -{pattern.base}D, 'shorter', x.start - x.end, 'ord', {ord_}, 'start', x.start, 'end', x.end, 'type', {quoted(pattern.kind)}, 'severity', {quoted(pattern.severity)},
+        'value', x.value, 'confidence', {pattern.base}D, 'passed', CAST(NULL AS boolean), 'signals', CAST(array() AS array<string>))"""
+    found = f"CAST(transform({spans_sql('t', _regex(pattern.regex), pattern.group)}, x -> {match}) AS {_NONE})"
+    return found if pattern.gate is None else f"CASE WHEN t RLIKE {quoted(pattern.gate)} THEN {found} ELSE CAST(array() AS {_NONE}) END"
+
+
 def _of_pattern(text: Column, ord_: int, pattern: Pattern, cfg: ScanConfig, explain: bool) -> Column:
     found, check = spans(text, _regex(pattern.regex), pattern.group), _check(pattern, cfg)
     if pattern.must_pass:
         found = F.filter(found, lambda x: check(x["value"]))
-    if scoring.is_constant(pattern) and not explain:
-        return F.transform(found, lambda x: _match(ord_, pattern.kind, x["start"], x["end"], x["value"], F.lit(pattern.base), None, None))
     before, after = scoring.BESIDE
 
     def look(x: Column) -> Column:
@@ -100,9 +106,13 @@ def _custom(ord_: int, confidence: float, said: Column) -> Callable[[Column], Co
 
 def candidates(text: Column, cfg: ScanConfig, explain: bool = False) -> Column:
     """All candidates of the enabled types, unresolved."""
-    parts = []
+    parts, constant = [], []
     for i, p in enumerate(PATTERNS):
-        if cfg.wants(p.kind):
+        if not cfg.wants(p.kind):
+            continue
+        if scoring.is_constant(p) and not explain:
+            constant.append(_constant(i, p))
+        else:
             found = _of_pattern(text, i, p, cfg, explain) if p.value is None else _of_label(text, i, p, explain)
             parts.append(found if p.gate is None else F.when(text.rlike(p.gate), found).otherwise(F.array().cast(_NONE)))
     if cfg.wants("ADDRESS"):
@@ -113,21 +123,26 @@ def candidates(text: Column, cfg: ScanConfig, explain: bool = False) -> Column:
             seen = F.filter(spans(read, _regex(c.regex)), lambda x: F.length(x["value"]) > 0)
             said = F.array(F.lit(f"custom pattern: {c.name}"), F.lit("user-defined pattern matched"))
             parts.append(F.transform(seen, _custom(len(PATTERNS) + 1 + i, round(min(0.99, c.confidence), 4), said)))
+    if constant:
+        parts.append(bound(text, "t", f"concat({', '.join(constant)})"))
     return F.concat(*parts) if parts else F.array().cast(_NONE)
 
 
 def resolve(found: Column) -> Column:
     """Keep the surest of overlapping detections, then the longest, then the first in the catalog; result by start.
 
-    An address only competes with other addresses.
+    An address only competes with other addresses. Detections are cut into runs that touch no other, so that each competes
+    with the few of its own run.
     """
-
-    def clash(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((a["type"] == b["type"]) | ((a["type"] != "ADDRESS") & (b["type"] != "ADDRESS")))
-
-    kept = F.aggregate(F.sort_array(found), F.array().cast(_NONE), lambda out, x: F.when(F.exists(out, lambda k: clash(k, x)), out).otherwise(F.concat(out, F.array(x))))
-    keyed = F.transform(kept, lambda x, i: F.struct(x["start"].alias("s"), i.alias("i"), x.alias("m")))
-    return F.transform(F.sort_array(keyed), lambda x: x["m"])
+    by = lambda items, key: f"transform(sort_array(transform({items}, (x, i) -> named_struct('k', {key}, 'i', i, 'm', x))), x -> x.m)"
+    clash = "exists(out, k -> k.start < x.end AND x.start < k.end)"
+    best = lambda items: f"aggregate(sort_array({items}), CAST(array() AS {_NONE}), (out, x) -> CASE WHEN {clash} THEN out ELSE concat(out, array(x)) END)"
+    reach = running_sql("own", "0", "greatest({a}, x.end)")
+    fresh = f"filter(transform(zip_with(own, {reach}, (x, r) -> x.start >= r), (new, i) -> CASE WHEN new THEN i END), i -> i IS NOT NULL)"
+    runs = f"transform(heads, (h, i) -> slice(own, h + 1, coalesce(get(heads, i + 1), size(own)) - h))"
+    resolved = bound_sql(by("items", "x.start"), "own", bound_sql(fresh, "heads", f"flatten(transform({runs}, run -> CASE WHEN size(run) = 1 THEN run ELSE {best('run')} END))"))
+    both = f"concat({bound_sql("filter(f, x -> x.type <> 'ADDRESS')", 'items', resolved)}, {best("filter(f, x -> x.type = 'ADDRESS')")})"
+    return bound(found, "f", f"CASE WHEN size(f) < 2 THEN f ELSE {by(both, 'x.start')} END")
 
 
 def detect(text: Column, cfg: ScanConfig, explain: bool = False, kept_only: bool = True) -> Column:

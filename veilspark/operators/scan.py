@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.masks import mask_value
+from ..functions.text import between, let
 from .catalog import RESIDUAL, RISK
 from .detect import detect
 
 
 def with_matches(df: DataFrame, cfg: ScanConfig | None = None, text: str = "text", name: str = "matches", explain: bool = False) -> DataFrame:
-    """df with its detections as an array; null text has none. Raw values are in it: keep it out of sinks."""
-    return df.withColumn(name, detect(F.coalesce(F.col(text), F.lit("")), cfg or ScanConfig(), explain))
+    """df with its detections as an array; null text has none, nor has a text that ``failed``. Raw values are in it: keep it out of sinks."""
+    read = F.when(failed(F.col(text)), F.lit("")).otherwise(F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn(name, detect(read, cfg or ScanConfig(), explain))
+
+
+def failed(text: Column) -> Column:
+    """Whether a text cannot be scanned: bytes that are no UTF-8. Such a row is set apart and the others go on."""
+    return ~F.coalesce(F.is_valid_utf8(text), F.lit(True))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -24,8 +31,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, text: str = "text") -> DataFrame:
     """One row per detection with its masked text: keys, type, text, confidence, severity, bbox, status, verification_passed, attempts."""
-    found = with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(*keys, F.explode("_matches").alias("_m"))
-    return found.select(
+    # explode_outer: under a plain explode the optimizer asks for rows with matches first, and so detects twice more in a filter.
+    found = with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(*keys, F.explode_outer("_matches").alias("_m"))
+    return found.where("_m IS NOT NULL").select(
         *keys,
         F.col("_m.type").alias("type"),
         mask_value(F.col("_m.type"), F.col("_m.value")).alias("text"),
@@ -55,15 +63,16 @@ def client_score(weights: Column, n: Column) -> Column:
 
 
 def summaries(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, text: str = "text") -> DataFrame:
-    """One row per document, also without detections; computed in the row."""
-    m = F.col("_matches")
+    """One row per document, also without detections; computed in the row. A text that cannot be scanned has status failed and 50 at most."""
+    m, bad = F.col("_matches"), failed(F.col(text))
     weights = F.aggregate(m, F.lit(0), lambda a, x: a + severity_weight(x["severity"]))
     return with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(
         *keys,
+        F.when(bad, "failed").otherwise("completed").alias("status"),
         F.size(m).alias("total_detections"),
         F.size(F.filter(m, lambda x: x["severity"] == "critical")).alias("critical_count"),
         F.size(m).alias("protected_count"),
-        privacy_score(weights, F.size(m)).alias("privacy_score"),
+        privacy_score(weights, F.size(m), bad).alias("privacy_score"),
         client_score(weights, F.size(m)).alias("client_score"),
     )
 
@@ -87,9 +96,9 @@ def redact_text(text: Column, cfg: ScanConfig) -> Column:
     """Extension: the text with each detection, addresses aside, replaced by its mask."""
     found = F.filter(detect(text, cfg), lambda x: x["type"] != "ADDRESS")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        return F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(gap, mask_value(x["type"], x["value"]))).alias("out"))
+    def rewrite(m: Column) -> Column:
+        at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"])
+        kept = F.transform(m, lambda x, i: F.concat(between(text, at(i), x["start"]), mask_value(x["type"], x["value"])))
+        return F.concat(F.array_join(kept, ""), between(text, at(F.size(m)), F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(found, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return let(found, rewrite)

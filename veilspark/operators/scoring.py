@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.keywords import ADDRESS_CUES, ADDRESS_POINTS, ADDRESS_POSTAL, NEGATIVE, TIERS
-from ..functions.text import first_of, has_any, has_any_long, let, plain
+from ..functions.text import any_of_sql, bound, first_of, has_any, let, plain
 from .catalog import BARE_NUMBERS, STRONGLY_CHECKED, Pattern
 
 #: Characters on each side of a value that are its context, and those that are next to it (before, after).
@@ -85,16 +85,16 @@ def has_pincode(block: Column) -> Column:
 
 def has_house_number(block: Column) -> Column:
     """A line that begins with a house or plot number."""
-    start = r"(?iU)^\s*(?:flat|plot|door|house|no\.?|#)?\s*#?\d{1,4}[a-z]?\s*[,/\-]"
-    return F.exists(F.split(block, r"\r\n|[\n\r\x0b\f]"), lambda line: line.rlike(start))
+    return block.rlike(r"(?iU)(?<![^\n\r\x0b\f])\s*(?:flat|plot|door|house|no\.?|#)?\s*#?\d{1,4}[a-z]?\s*[,/\-]")
 
 
 def address_points(block: Column, many_lines: Column | None = None) -> Column:
     """Points of a block of text as a postal address; fewer than two cues give 30 at most."""
 
-    def total(norm: Column) -> Column:
-        said = [has_any_long(norm, terms).alias(name) for name, (_, _, terms) in ADDRESS_CUES.items()]
-        return let(F.struct(*said, has_any_long(norm, ADDRESS_POSTAL).alias("postal"), has_pincode(block).alias("pin"), has_house_number(block).alias("house")), sum_up)
+    said = ", ".join(f"{any_of_sql('n', terms)} AS {name}" for name, terms in [*((k, t) for k, (_, _, t) in ADDRESS_CUES.items()), ("postal", ADDRESS_POSTAL)])
+
+    def total(words: Column) -> Column:
+        return let(F.struct(*[words[k].alias(k) for k in (*ADDRESS_CUES, "postal")], has_pincode(block).alias("pin"), has_house_number(block).alias("house")), sum_up)
 
     def sum_up(flags: Column) -> Column:
         cues = sum((_if(flags[name], 1) for name in ADDRESS_CUES), _if(flags["pin"] | flags["postal"], 1))
@@ -104,7 +104,7 @@ def address_points(block: Column, many_lines: Column | None = None) -> Column:
             score = score + _if(many_lines, ADDRESS_POINTS["lines"])
         return F.least(F.lit(100), F.when(cues >= 2, score).otherwise(F.least(score, F.lit(30))))
 
-    return let(plain(block), total)
+    return let(bound(plain(block), "n", f"struct({said})"), total)
 
 
 def address_cue(line: Column) -> Column:

@@ -153,6 +153,35 @@ def custom_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
 
 
+def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that cannot be scanned and patterns that cannot be run do not end the job; the other rows have all their detections."""
+    text = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('badge EMP-', c_custkey, ' of u', c_custkey, '@shop.example') WHEN 1 THEN CAST(unhex('FFFE41') AS STRING) ELSE repeat('ab', 20000) END")
+    cfg = ScanConfig.of(["email", "custom"], [{"name": "badge", "regex": r"(?P<kind>EMP)-\d+"}, {"name": "endless", "regex": "(?:a|b)*c?"}, {"name": "broken", "regex": "([unclosed"}])
+    found = scan.summaries(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), ["c_custkey"], cfg)
+    return found.select("c_custkey", "status", "total_detections", "privacy_score")
+
+
+def account_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers with a form of their own that no test table holds, composed from keys, between words and in a text of several lines."""
+    hex40 = "lpad(lower(hex(c_custkey)), 40, '0')"
+    value = f"CASE c_custkey % 5 WHEN 0 THEN concat('eyJ', lpad(CAST(c_custkey AS STRING), 12, 'a'), '.', lpad(CAST(c_custkey AS STRING), 12, 'b'), '.', lpad(CAST(c_custkey AS STRING), 12, 'c')) WHEN 1 THEN concat('DE', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), {_N16}) WHEN 2 THEN concat('c', c_custkey, '@okaxis') WHEN 3 THEN concat('0x', {hex40}) ELSE concat('00:1B:44:11:', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), ':3A') END"
+    text = F.expr(f"concat('line ', c_custkey, '\n', {value}, ' seen')")
+    return _found(table(spark, sf_dir, "customer"), ["c_custkey"], text, ["JWT_TOKEN", "IBAN", "UPI_ID", "CRYPTO_WALLET", "MAC_ADDRESS"]).select("c_custkey", "type", "severity", "value", "start", "end", "confidence")
+
+
+def located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers in positioned tokens: on one line behind a label, wrapped over two lines, and below a label."""
+    word = lambda text, x, y, w: F.struct(F.expr(text).alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip("xywh", (x, y, w, 20), strict=True)])
+    part = lambda i: f"substring({_N16}, {4 * i + 1}, 4)"
+    row = F.array(word("'Card'", 10, 50, 40), *[word(part(i), 60 + 50 * i, 50, 45) for i in range(4)])
+    wrapped = F.array(word(f"substring({_N16}, 1, 8)", 10, 50, 90), word(f"substring({_N16}, 9, 8)", 10, 80, 90))
+    below = F.array(word("'Card'", 10, 20, 40), *[word(part(i), 10 + 50 * i, 50, 45) for i in range(4)])
+    kind = F.col("c_custkey") % 3
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(kind == 0, row).when(kind == 1, wrapped).otherwise(below).alias("tokens"))
+    found = spatial.token_detections(rows, ["c_custkey"], ScanConfig.of(["card"]))
+    return found.select("c_custkey", "type", "text", "confidence", *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")])
+
+
 def enabled_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr(f"concat('mail u', c_custkey, '@shop.example card ', {_N16})")
     return _found(table(spark, sf_dir, "customer"), ["c_custkey"], text, ["E-Mail"]).select("c_custkey", "type", "value")
@@ -235,7 +264,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, token_detections, card_luhn_by_source, ip_valid_by_source,
     email_documents, swift_hits, aadhaar_verhoeff, aadhaar_confidence, card_confidence, phone_confidence, context_points, label_anchored, secrets, national_ids, address_scores, custom_patterns,
-    enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
+    failure_isolation, account_ids, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
     pii_by_language_and_source, labels_against_pii, event_windows, event_sessions,
 )}
 
@@ -264,7 +293,19 @@ ORACLES = {
         CASE c_custkey % 6 WHEN 0 THEN 'ABCDE' || k || 'F' WHEN 1 THEN '123-45-' || k WHEN 2 THEN 'K123' || k WHEN 3 THEN 'AB12' || k || 'C' WHEN 4 THEN '900101-123' || k ELSE 'HDFC012' || k END AS value,
         CASE c_custkey % 6 WHEN 0 THEN 0.92 WHEN 1 THEN 0.9 WHEN 2 THEN 0.72 WHEN 3 THEN 0.88 ELSE 0.9 END AS confidence FROM c""",
     "address_scores": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey >= 1000000 THEN 90 ELSE 100 END WHEN 1 THEN 30 WHEN 2 THEN 36 ELSE 0 END AS points, c_custkey % 4 = 0 AND c_custkey < 1000000 AS pin, c_custkey % 4 = 1 AS house FROM customer",
-    "custom_patterns": "WITH c AS (SELECT doc_id, len(regexp_extract_all(left(text, 20000), '[a-z]{18,}')) AS n FROM documents) SELECT doc_id, n, 0.9 AS confidence FROM c WHERE n > 0",
+    "custom_patterns": "WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[a-z]{18,}')) AS n FROM documents) SELECT doc_id, n, 0.9 AS confidence FROM c WHERE n > 0",
+    "failure_isolation": "SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN 'failed' ELSE 'completed' END AS status, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 0 END AS total_detections, CASE c_custkey % 3 WHEN 0 THEN 99.0 WHEN 1 THEN 50.0 ELSE 100.0 END AS privacy_score FROM customer",
+    "account_ids": rf"""WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'eyJ' || lpad(CAST(c_custkey AS STRING), 12, 'a') || '.' || lpad(CAST(c_custkey AS STRING), 12, 'b') || '.' || lpad(CAST(c_custkey AS STRING), 12, 'c')
+            WHEN 1 THEN 'DE' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || {_N16} WHEN 2 THEN 'c' || c_custkey || '@okaxis' WHEN 3 THEN '0x' || lpad(lower(hex(c_custkey)), 40, '0') ELSE '00:1B:44:11:' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || ':3A' END AS v FROM customer),
+        s AS (SELECT c_custkey, 'line ' || c_custkey || chr(10) || v || ' seen' AS text FROM t),
+        p AS (SELECT * FROM (VALUES ('JWT_TOKEN', 'high', 0.96, '\beyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\b'), ('IBAN', 'high', 0.9, '\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\b'),
+            ('UPI_ID', 'high', 0.95, '\b[A-Za-z0-9.\-_]{{2,}}@(?:okhdfcbank|oksbi|okaxis|okicici|paytm|ybl|upi|apl|axl)\b'), ('CRYPTO_WALLET', 'high', 0.85, '\b(?:0x[a-fA-F0-9]{{40}}|bc1[a-z0-9]{{25,59}}|[13][a-km-zA-HJ-NP-Z1-9]{{25,34}})\b'),
+            ('MAC_ADDRESS', 'low', 0.9, '\b(?:[0-9A-Fa-f]{{2}}:){{5}}[0-9A-Fa-f]{{2}}\b')) AS x(type, severity, confidence, regex)),
+        m AS (SELECT c_custkey, type, severity, CAST(confidence AS DOUBLE) AS confidence, text, unnest(regexp_extract_all(text, regex)) AS value FROM s, p)
+        SELECT c_custkey, type, severity, value, strpos(text, value) - 1 AS start, strpos(text, value) - 1 + length(value) AS "end", confidence FROM m""",
+    "located_cards": f"""WITH c AS (SELECT c_custkey, c_custkey % 3 AS k, {_N16} AS n FROM customer) SELECT c_custkey, 'CREDIT_CARD' AS type, 'XXXX XXXX XXXX ' || right(n, 4) AS text,
+        CASE k WHEN 1 THEN 0.6 ELSE 0.85 END AS confidence, CASE k WHEN 0 THEN 57.6 WHEN 1 THEN 4.0 ELSE 7.6 END AS x, CASE k WHEN 1 THEN 44.0 ELSE 47.6 END AS y,
+        CASE k WHEN 1 THEN 102.0 ELSE 199.8 END AS w, CASE k WHEN 1 THEN 62.0 ELSE 24.8 END AS h FROM c WHERE {_sql_luhn('n')}""",
     "enabled_isolation": "SELECT c_custkey, 'EMAIL' AS type, 'u' || c_custkey || '@shop.example' AS value FROM customer",
     "overlap_resolve": "SELECT c_custkey, 'IFSC' AS type, 6 AS start, 17 AS \"end\" FROM customer",
     "type_normalize": f"WITH n AS (SELECT c_custkey, c_name, ['  Credit  Card ', 'uid', 'e-mail', 'Phone Number', 'custom', 'c_name'][c_custkey % 6 + 1] AS t FROM customer), m AS (SELECT c_custkey, CASE WHEN t = 'c_name' THEN c_name ELSE t END AS t FROM n), p AS (SELECT c_custkey, t, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS k FROM m) SELECT c_custkey, CASE {_ALIAS_SQL} ELSE upper(trim(t)) END AS type FROM p",
