@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from veilspark.llm import exact_dedup, graph, html_extract, language_id, near_dedup, packing, pii, quality, queries, sentence_pieces, sharding, token_counts, tokens
+from veilspark.llm import common, exact_dedup, graph, html_extract, language_id, near_dedup, packing, pii, quality, queries, sentence_pieces, sharding, token_counts, tokens
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(30_000))
@@ -28,7 +28,7 @@ ODD = [
     (7, "één x@y.example.org 4111 1111 1111 1111 +1 (743) 555-3824 10.0.0.1 😀", "fr", "s", 5),
     (8, "…" * 40 + "\x00 end <|endoftext|>", "fr", "s", 6),
 ]
-CLASH = ["kept", "size", "shard", "slot", "n_words", "spans", "_row", "digest", "component", "bucket", "stratum", "part", "piece", "key", "node", "cid"]
+CLASH = ["_spans", "a.b", "_hot", "kept", "size", "shard", "slot", "n_words", "spans", "_row", "digest", "component", "bucket", "stratum", "part", "piece", "key", "node", "cid"]
 
 
 @pytest.fixture(scope="session")
@@ -147,6 +147,20 @@ def test_near_hot_group(spark, monkeypatch):
     assert Counter(r.component_id for r in got if r.stays) == Counter({c for _, c in want.values()})
 
 
+def test_components_without_a_fixed_point_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), rounds=1)
+
+
+def test_join_counted(spark):
+    """Hot keys, missing keys and rare ones give what a plain left join gives."""
+    rows = spark.createDataFrame([(1 if i % 3 else None if i % 2 else i, i) for i in range(6000)], "k long, v long")
+    named = rows.where("k % 4 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    plain = rows.join(named, "k", "left")
+    got = common.join_counted(rows, named, "k", "n")
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -174,10 +188,35 @@ def test_pii_bootstrapping(spark):
     rows = [(i, f"note {i} card number {c} paid") for i, c in enumerate(cards)] + [(100, f"the card number {wrong} failed"), (101, f"ticket reference {wrong} open")]
     spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert spans[100] == "card:16:32" and spans[101] == ""
+    # words on the right, after a line end, and far more than 64 characters from the last match
+    right = [(i, f"{'pad ' * 40}x{i}\t{c} debited\nfrom the account") for i, c in enumerate(cards)] + [(100, f"we say no{chr(10)}{wrong}  Debited"), (101, f"{wrong} dollars")]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(right, "doc_id long, text string")).collect()}
+    assert spans[100] == "card:10:26" and spans[101] == ""
     clean = pii.redact(spark.createDataFrame([(1, "x a@b.com y 10.0.0.1", "k"), (2, None, "k")], "doc_id long, text string, kept string")).collect()
     assert sorted((r.doc_id, r.text, r.kept) for r in clean) == [(1, "x [EMAIL] y [IP]", "k"), (2, None, "k")]
 
 
+def test_pii_graph_scores(spark):
+    """Trusted patterns against a plain version of the graph, where trust takes more than one round to spread."""
+    rng = np.random.default_rng(3)
+    edges = {(int(p), int(i)) for p, i in zip(rng.integers(0, 40, 3000), rng.integers(0, 1200, 3000), strict=True)}
+    edges |= {(100, 5000 + i) for i in range(400)} | {(p, 6000 + i) for p in (100, 101) for i in range(40)} | {(101, 7000), (101, 7001), (102, 7000)}
+    seed = {i for _, i in edges if (i < 1100 and i % 20) or 5000 <= i < 6000}
+    rows = [(0, i, 0, 1, i in seed, str(i), [p]) for p, i in edges]
+    found = spark.createDataFrame(rows, "_n long, kind int, start long, end long, base boolean, value string, patterns array<long>")
+    by, trust = defaultdict(set), {i: 1.0 for i in seed}
+    for p, i in edges:
+        by[p].add(i)
+    for _ in range(200):
+        share = {p: sum(trust.get(i, 0.0) for i in x) / (len(x) + pii.SMOOTH) for p, x in by.items()}
+        sure = {p for p, v in share.items() if v >= pii.CONFIDENT and sum(trust.get(i, 0.0) >= pii.CONFIDENT for i in by[p]) >= pii.SUPPORT}
+        trust = {i: 1.0 for i in seed}
+        for p in sure:
+            for i in by[p]:
+                trust[i] = max(trust.get(i, 0.0), share[p])
+    assert {r.pattern for r in pii.confident_patterns(found).collect()} == sure and {100, 101} <= sure and 102 not in sure
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
@@ -252,6 +291,20 @@ def test_rollup(spark, tmp_path, odd):
     assert not [r for r in rollup.totals().collect() if r.lang == "en"]
 
 
+def test_rollup_rivals_folds_and_no_batches(spark, tmp_path, monkeypatch):
+    """Two committers past the check: one wins, nothing is left of the other; snapshots change no totals; no batch, no rows."""
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    assert rollup.totals().count() == 0 and rollup.fold() and rollup.totals().count() == 0
+    rows = lambda n: spark.createDataFrame([("s", None, "1", n, 10 * n, 100 * n)], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_bytes long")
+    monkeypatch.setattr(token_counts.Rollup, "committed", lambda self, batch_id: False)
+    assert rollup.apply("a", rows(1)) and not rollup.apply("a", rows(5)) and rollup.apply("b", rows(2))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", None, "1", 3, 30, 300)]
+    assert rollup.fold() and rollup.apply("c", rows(-1)) and [r.n_docs for r in rollup.totals().collect()] == [2]
+    assert sorted(x.name for x in (tmp_path / "rollup").iterdir()) == ["_staged", "batch=a", "batch=b", "batch=c", "snapshot=00000000", "snapshot=00000001"]
+    assert not list((tmp_path / "rollup/_staged").iterdir()) and not list((tmp_path / "rollup/batch=a").glob("batch*"))
+    assert rollup.apply("d", rows(-2)) and rollup.totals().count() == 0
+
+
 def test_token_count_query(spark, docs, texts):
     """The registered query against plain counts: languages other than English end under the second version."""
     from tokenizers import Tokenizer
@@ -338,6 +391,40 @@ def test_language_filter_holds_flat_scripts(spark):
     assert langs == ["a", "b", "c", "c"] and (scores > 0.9).all() and (model.false_rate < 0.05).all()
 
 
+def test_language_profiles_and_counts(spark):
+    """Profiles and decisions against plain sets: the filter only adds false positives, which are few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 < 3")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").collect()
+    count = defaultdict(Counter)
+    for r in rows:
+        count[r.lang].update(language_id.grams([r.text.replace("\n", " ")])[1].tolist())
+    profile = {}
+    for lang, c in count.items():
+        least, left = 0, language_id.TAIL * sum(c.values())
+        for n, mass in sorted(Counter({n: n * k for n, k in Counter(c.values()).items()}).items()):
+            least, left = n, left - mass
+            if left < 0:
+                break
+        profile[lang] = {g for g, n in c.items() if n >= least}
+    counts = language_id.count_grams(docs)
+    got = defaultdict(set)
+    for r in language_id.profiles(counts).collect():
+        got[r.lang].add(r.gram)
+    assert got == profile
+    model = language_id.train(docs)
+    known = set().union(*profile.values())
+    probes = np.fromiter(known | {g + 7 for g in known}, np.int64)
+    masks = model.masks(probes)[:, 0]
+    for i, lang in enumerate(model.langs):
+        hit, member = (masks >> i) & 1 > 0, np.isin(probes, np.fromiter(profile[lang], np.int64))
+        assert hit[member].all() and hit[~member].mean() < 0.01
+    texts = [r.text for r in rows[:200]]
+    for text, lang in zip(texts, model.decide([t.replace("\n", " ") for t in texts])[0], strict=True):
+        grams = language_id.grams([text.replace("\n", " ")])[1].tolist()
+        share = {k: sum(g in profile[k] for g in grams) / max(1, len(grams)) for k in profile}
+        assert not grams or share[lang] >= max(share.values()) - 0.01
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div class="logo">Site</div></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div id="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First   para<br>goes&nbsp;on<p><b>Second <i>one</b></i><aside>Related</aside><div class="ad">Buy</div>
@@ -382,6 +469,24 @@ def test_html_names_do_not_exclude_the_article():
     assert html_extract.main_text('<div hidden><article>Not shown</article></div><p>Body</p>') == "Body"
 
 
+def test_html_article_among_comments_menus_and_scripts():
+    for page in (
+        '<article><h1>Title</h1><p class="social-science">Body</p></article>', '<article><h1>Title</h1><div class="share-price-report">Body</div></article>',
+        "<article><h1>Title</h1><p>Body</p></article><article><p>Nice post</p></article>", "<article><h1>Title</h1><p>Body</p><article><p>me too</p></article></article>",
+        "<main><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><h1>Title</h1><p>Body</p></main>", "<article><h1>Title</h1><script src=//c.d/x/>code</script><p>Body</p></article>",
+    ):
+        assert html_extract.main_text(page) == "Title\nBody", page
+    assert html_extract.main_text("<article><h2>A</h2><p>a</p></article><article><h2>B</h2><p>b</p></article>") == "A\na\nB\nb"
+    assert html_extract.main_text("<article><article><p>inner</p></article></article>") == "inner"
+
+
+def test_html_wrappers_too_large_to_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<html><body><p>Top {i % 3}</p><p>Own {i}</p></body></html>") for i in range(30)] + [(99, None, "<p>alone</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "maybe_broadcast", lambda df: df)
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Own {i}" for i in range(30)} | {99: "alone"}
+
+
 def test_html_template_beside_content_and_in_a_second_layout(spark):
     """A notice among paragraphs of its own label goes, so does the template of 40 % of a host's pages; few copies make no template."""
     first = "<html><body class='post-{w}'><div><p>Cookies are used here</p><p>Own text {i}</p><p>More of {i}</p><p>All rights reserved</p></div></body></html>"

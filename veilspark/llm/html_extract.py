@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import html as htmllib
+import itertools
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast
+from .common import durable, join_counted, maybe_broadcast
 
 #: A text in a slot is template when it is on so large a share of the pages aligned to the slot, of this many pages at least.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 5
 #: Skeletons with so large a share of common nodes are one layout.
 SAME_LAYOUT = 0.7
-#: Outside a declared article, a block is a menu when so much of its text is linked.
-LINKED = 0.5
+#: Outside a declared article, a block is a menu when so much of its text is linked; in a main element so many in a row, linked whole.
+LINKED, MENU = 0.5, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:@][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -57,22 +58,23 @@ _SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr":
 
 
 class Page:
-    """A parsed page: the skeleton's labels and parents, and blocks (slot, text, linked characters, heading?) in page order."""
+    """A parsed page: the skeleton's labels and parents, and blocks (slot, text, linked characters, heading?, article)
+    in page order. Articles are numbered from 1; what stands in an article inside an article has the outer one's number, negative."""
 
     def __init__(self, html: str):
         self.labels, self.parents, self.kinds = ["#"], [-1], [""]
         self.children: list[dict[str, int]] = [{}]
-        self.blocks: list[tuple[int, str, int, bool]] = []
-        stack: list[tuple[str, int]] = [("#", 0)]
+        self.blocks: list[tuple[int, str, int, bool, int]] = []
+        stack: list[tuple[str, int, int]] = [("#", 0, 0)]
         text: list[str] = []
-        links = linked = at = 0
+        links = linked = at = articles = 0
 
         def flush() -> None:
             nonlocal linked
             if text:
                 joined = " ".join(htmllib.unescape("".join(text)).split())
                 if joined:
-                    self.blocks.append((stack[-1][1], joined, min(linked, len(joined)), stack[-1][0] in ("h1", "h2")))
+                    self.blocks.append((stack[-1][1], joined, min(linked, len(joined)), stack[-1][0] in ("h1", "h2"), stack[-1][2]))
                 text.clear()
             linked = 0
 
@@ -108,7 +110,8 @@ class Page:
                     text.append(" ")
                 continue
             if name in _RAW:
-                if not (m[3] or m[6] or "").endswith("/"):
+                # Only foreign elements can close themselves; the slash of <script src=//x/> is part of its address.
+                if name not in ("svg", "math") or not (m[3] or m[6] or "").endswith("/"):
                     close = re.compile(rf"</{name}\s*[^>]*>", re.I).search(html, at)
                     if name == "head" and not close:
                         close = re.compile(r"(?=<body\b)", re.I).search(html, at)
@@ -135,9 +138,13 @@ class Page:
                         break
                     if stack[i][0] in _SAME_CLOSES[name]:
                         break
-            if name in ("html", "body") and any(t == name for t, _ in stack):
+            if name in ("html", "body") and any(t == name for t, _, _ in stack):
                 continue
-            stack.append((name, self._slot(stack[-1][1], name, m[3] or m[6] or "")))
+            inside = stack[-1][2]
+            if name == "article":
+                articles += inside == 0
+                inside = articles if inside == 0 else -abs(inside)
+            stack.append((name, self._slot(stack[-1][1], name, m[3] or m[6] or ""), inside))
         flush()
 
     def _slot(self, parent: int, tag: str, attributes: str) -> int:
@@ -163,7 +170,7 @@ class Page:
 
     def slot_digests(self) -> list[tuple[int, int]]:
         """Every slot with the digest of each different text in it: a repeated slot can hold template and content side by side."""
-        return list(dict.fromkeys((slot, _digest(text)) for slot, text, _, _ in self.blocks))
+        return list(dict.fromkeys((slot, _digest(text)) for slot, text, *_ in self.blocks))
 
 
 def _kind(tag: str) -> str:
@@ -287,11 +294,28 @@ def _regions(page: Page) -> tuple[list[bool], list[bool], list[bool]]:
 
     for main, lift in (("m", False), ("mw", False), ("mw", True)):
         regions = skip, inside, _ = spread(main, holders() if lift else set())
-        if any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks):
+        if any(inside[slot] and not skip[slot] for slot, *_ in page.blocks):
             return regions
     return spread("", set())
 
 
+def _article(blocks: list[tuple[int, str, int, bool, int]]) -> list[tuple[int, str, int, bool, int]]:
+    """Of the blocks in declared articles and main elements, the article's.
+
+    Articles inside an article with text of its own are comments, and so are articles without a heading beside one that has one. In
+    what stands outside all articles, a row of blocks that are links and nothing else is a menu.
+    """
+    own = {art for *_, art in blocks if art > 0}
+    headed = {art for *_, heading, art in blocks if art > 0 and heading}
+    chosen = headed or own
+    kept = []
+    for linked, row in itertools.groupby(blocks, lambda b: b[4] == 0 and b[2] >= len(b[1])):
+        found = list(row)
+        if not linked or len(found) < MENU:
+            kept += [b for b in found if b[4] == 0 or b[4] in chosen or (b[4] < 0 and -b[4] not in own)]
+    return kept
+
+
 def main_text(html: str | None, references: Sequence[str] | None = None, constant: Iterable[Mapping] | None = None) -> str:
     """The article of a page. references and constant are the host's wrappers as in ``induce``, or None for a host without any."""
     if not html:
@@ -304,13 +328,13 @@ def main_text(html: str | None, references: Sequence[str] | None = None, constan
         layout = nearest(skeleton, tuple(references))
         partner = align(skeleton, references[layout])
         known = {(c["slot"], c["digest"]) for c in constant if c["layout"] == layout}
-        template = {(slot, text) for slot, text, _, _ in page.blocks if (partner.get(number[slot], -1), _digest(text)) in known}
+        template = {(slot, text) for slot, text, *_ in page.blocks if (partner.get(number[slot], -1), _digest(text)) in known}
     shown = [b for b in page.blocks if not skip[b[0]] and not (header[b[0]] and not (inside[b[0]] and b[3]))]
-    declared = [b for b in shown if inside[b[0]]]
+    declared = _article([b for b in shown if inside[b[0]]])
     # The wrapper takes template out of a declared article too; where nothing else is in it, its pages are copies and keep it.
-    kept = [text for slot, text, _, _ in declared if (slot, text) not in template] or [text for _, text, _, _ in declared]
-    if not any(inside[slot] and not skip[slot] for slot, _, _, _ in page.blocks):
-        kept = [text for slot, text, linked, _ in shown if (slot, text) not in template and linked <= LINKED * len(text)]
+    kept = [b[1] for b in declared if b[:2] not in template] or [b[1] for b in declared]
+    if not any(inside[slot] and not skip[slot] for slot, *_ in page.blocks):
+        kept = [b[1] for b in shown if b[:2] not in template and b[2] <= LINKED * len(b[1])]
     return "\n".join(kept)
 
 
@@ -322,7 +346,7 @@ def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 page = Page(html)
                 skeleton, number = page.skeleton()
                 found = page.slot_digests()
-                whole = _digest("\n".join(text for _, text, _, _ in page.blocks))
+                whole = _digest("\n".join(text for _, text, *_ in page.blocks))
                 rows.append((host_of(url), whole, skeleton, [number[s] for s, _ in found], [d for _, d in found]))
         yield pd.DataFrame(rows, columns=["host", "page", "skeleton", "slots", "digests"])
 
@@ -426,7 +450,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     wrappers = durable(induce(pages))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit("")).alias("host"))
-    met = keyed.join(maybe_broadcast(wrappers), "host", "left").select("page_id", "url", "html", "references", "constant")
+    # Wrappers that are small are brought to the pages. Else pages and wrappers meet by host, but for hosts with a large share of all pages.
+    known = maybe_broadcast(wrappers)
+    if known is wrappers:
+        sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+        met = join_counted(keyed, durable(wrappers.join(sizes, "host")), "host", "_pages")
+    else:
+        met = keyed.join(known, "host", "left")
+    met = met.select("page_id", "url", "html", "references", "constant")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

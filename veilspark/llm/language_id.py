@@ -1,8 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
 A bit-sliced Bloom filter has one slice per language over the same positions: a probe reads the words at an n-gram's
-positions, ANDs them and so gets all languages that contain the n-gram at once. A text's language is the one with the most
-of its n-grams, after each count is corrected by the false-positive rate of that language's slice.
+positions, ANDs them and so gets all languages that contain the n-gram at once. A language contains the n-grams of its profile, the
+most used ones that make up all but ``TAIL`` of its own uses; what other languages use does not matter. A text's language is the one
+with the most of its n-grams, after each count is corrected by the false-positive rate of that language's slice.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import durable
 
 #: Positions of the filter at least, for each n-gram of the language with most of them, and probes per n-gram.
 POSITIONS, SPACE, PROBES = 1 << 20, 8, 4
-#: A language contains an n-gram that it uses at least so often, compared with the language that uses it most.
-RATIO = 0.5
+#: The part of a language's uses of n-grams that its profile leaves out: foreign words, names and slips.
+TAIL = 0.02
 #: Characters that are turned into arrays at once.
 CHUNK = 1 << 20
 
@@ -143,16 +144,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def profiles(counts: DataFrame) -> DataFrame:
+    """``lang, gram`` of every language's profile, from ``lang, gram, n``: the grams used at least as often as the rarest that is needed.
+
+    The bound is found on how many grams have each count, a small table by language, so no language's grams meet in one task.
+    Grams used equally often are all in or all out.
+    """
+    masses = counts.groupBy("lang", "n").agg(F.sum("n").alias("mass"))
+    rarer = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("lang")
+    kept = masses.select("lang", "n", (F.sum("mass").over(rarer) > TAIL * F.sum("mass").over(whole)).alias("kept")).where("kept")
+    return counts.join(kept.groupBy("lang").agg(F.min("n").alias("least")), "lang").where("n >= least").select("lang", "gram")
+
+
 def train(docs: DataFrame) -> LanguageFilter | None:
-    """Learn from every text with a language. The filter holds every gram of every language that ``RATIO`` lets contain it."""
+    """Learn from every text with a language. The filter holds every gram of every language's profile."""
     counts = durable(count_grams(docs))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
     langs = sorted(totals)
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(F.broadcast(sizes) if len(langs) < 20_000 else sizes, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
-    chosen = durable(rates.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= RATIO * F.col("most")).select("lang", "gram"))
+    chosen = durable(profiles(counts))
     number = {lang: i for i, lang in enumerate(langs)}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +183,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from text and non-null lang of the documents that are not held out (nor without id); a prediction reads the text
     alone. Null texts, texts without a letter, and all texts where nothing could be learned are "und" with score 0. A text
-    none of whose n-grams is known gets the most used language and score 0. Ties go to the language that sorts first.
+    none of whose n-grams is known gets the most used language and score 0. Ties go to the language that sorts first. Repeated rows
+    count as often as they occur and each get a prediction; other columns are ignored; an empty table gives no rows. Long texts are
+    read whole, in runs of about ``CHUNK`` characters.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     model = train(rows.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))))

@@ -1,10 +1,11 @@
 """Personal data: fixed base patterns, then bootstrapped contextual extraction. DataFrame expressions only.
 
-Bootstrapping: the base matches are seeds. What stands left of a match (its last two words) is a lexical pattern; matches and
-look-alikes that fail the base rules are instances; a pattern and an instance that occur together are an edge of a bipartite
-graph. Scores travel over it for a few rounds: a pattern's confidence is the smoothed share of its distinct instances that
-are trusted, an instance's trust is that of its best pattern, seeds stay at 1. Patterns that end up confident and well
-supported mark their remaining look-alikes as identifiers of the same kind.
+Bootstrapping: the base matches are seeds. The words beside a match make lexical patterns of four kinds: the two words on its left, the
+one on its left, the one on its right, and one on each side. Matches and look-alikes that fail the base rules are instances; a
+pattern and an instance that occur together are an edge of a bipartite graph. Scores travel over it until they rest: a pattern's
+confidence is the smoothed share of its distinct instances that are trusted, an instance's trust is that of its best confident pattern,
+seeds stay at 1. Scores only rise, and are at most 1, so they come to rest. Patterns that end up confident and well supported mark
+their remaining look-alikes as identifiers of the same kind.
 
 Positions come from splitting a text by a regular expression: pieces and matches alternate, so a running sum of their lengths
 gives the offsets in code points. Only matches leave the text's row; the sums run over them by (row, expression).
@@ -29,7 +30,7 @@ _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 #: Look-alikes: mail addresses in other writings, longer dotted numbers, and any longer number.
-_LIKE_EMAIL = r"(?<![^ \t-\r])[^ \t-\r@]{1,64}+@[^ \t-\r@]{1,255}+(?![^ \t-\r])"
+_LIKE_EMAIL = r"(?<![^ \t-\r])[^ \t-\r@]++@[^ \t-\r@]++(?![^ \t-\r])"
 _LIKE_IP = r"(?<![0-9.:])[0-9]++(?:[.:][0-9]++){3,7}+(?![.:]?[0-9])"
 _LIKE_NUMBER = r"(?<![0-9])(?<![0-9][ .()-])[0-9](?:[ .()-]{0,2}+[0-9]){6,18}+(?![ .()-]?[0-9])"
 
@@ -44,8 +45,9 @@ _SCANS = (
     (_LIKE_NUMBER, 2, False, None),
 )
 
-#: Rounds of scoring, confidence that a pattern needs, distinct seeds that must support it, and the smoothing of shares.
-ROUNDS, CONFIDENT, SUPPORT, SMOOTH = 3, 0.8, 5, 1.0
+#: Confidence that a pattern needs, distinct trusted instances that must support it, the smoothing of shares, and the change of the
+#: scores' sum below which they rest.
+CONFIDENT, SUPPORT, SMOOTH, RESTS = 0.8, 5, 1.0, 1e-6
 
 
 def _digits(value: Column) -> Column:
@@ -60,26 +62,41 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _scan(text: Column, number: int) -> Column:
-    """The matches of one expression: (scan, at, gap, size, value, left), in order."""
+    """The matches of one expression: (scan, at, gap, size, value, contexts), in order."""
     regex, _, _, needs = _SCANS[number]
-    gaps = F.split(text, regex, -1)
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(regex), 0), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    full = F.filter(pairs, lambda x: x["m"].isNotNull())
-    found = F.transform(
-        full,
-        lambda x, i: F.struct(
-            F.lit(number).alias("scan"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["m"].alias("value"), F.right(x["g"], F.lit(64)).alias("left")
-        ),
-    )
-    none = F.array().cast("array<struct<scan:int,at:int,gap:int,size:int,value:string,left:string>>")
+    parts = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), 0).alias("whole"))
+
+    def placed(p: Column) -> Column:
+        return F.transform(
+            p["whole"],
+            lambda m, i: F.struct(
+                F.lit(number).alias("scan"), i.alias("at"), F.length(F.get(p["gaps"], i)).alias("gap"), F.length(m).alias("size"), m.alias("value"), _contexts(F.get(p["gaps"], i), F.get(p["gaps"], i + 1)).alias("contexts")
+            ),
+        )
+
+    found = F.get(F.transform(F.array(parts), placed), F.lit(0))
+    none = F.array().cast("array<struct<scan:int,at:int,gap:int,size:int,value:string,contexts:array<bigint>>>")
     return found if needs is None else F.when(F.contains(text, F.lit(needs)), found).otherwise(none)
 
 
-def _context(left: Column) -> Column:
-    """The last two words before a match, in lower case and with digits masked; null if they hold no letter."""
-    last = F.regexp_extract(left, r"((?:[^ \t-\r]+[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*)$", 1)
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(last), "[0-9]", "0"), r"[ \t-\r]+", " "))
-    return F.when(plain.rlike(r"\p{L}"), plain)
+def _contexts(left: Column, right: Column) -> Column:
+    """Hashes of the lexical patterns around a match, of those that hold a letter. Words are in lower case, with digits masked.
+
+    Words are cut off the ends of the whole gaps, however long these are; between two matches the same words can serve both.
+    """
+    blank = lambda gap: F.translate(gap, "\t\n\x0b\f\r", "     ")
+    word = lambda w: F.translate(F.lower(w), "123456789", "000000000")
+    last = lambda gap: F.substring_index(gap, " ", -1)
+    before = lambda gap: F.rtrim(F.left(gap, F.length(gap) - F.length(last(gap))))
+
+    def hashed(w: Column) -> Column:
+        one, two, after = w["one"], w["two"], w["after"]
+        lists = [F.array(two, one), F.array(one), F.array(after), F.array(one, after)]
+        every = [F.when(F.forall(x, lambda y: y != "") & F.exists(x, lambda y: y.rlike(r"\p{L}")), F.xxhash64(F.lit(i), x)) for i, x in enumerate(lists)]
+        return F.array_compact(F.array(*every))
+
+    cut = lambda gap: F.struct(word(last(gap)).alias("one"), word(last(before(gap))).alias("two"), word(F.substring_index(F.ltrim(blank(right)), " ", 1)).alias("after"))
+    return F.get(F.transform(F.transform(F.array(F.rtrim(blank(left))), cut), hashed), F.lit(0))
 
 
 def scanned(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -91,14 +108,14 @@ def scanned(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def occurrences(scans: DataFrame, row: str = "_n") -> DataFrame:
     """Base matches that pass their checks and look-alikes that touch none of them.
 
-    Columns: ``row, kind, start, end, base, value, pattern``. scans: rows of ``scanned``.
+    Columns: ``row, kind, start, end, base, value, patterns``. scans: rows of ``scanned``.
     """
     found = scans.select(row, F.explode("matches").alias("m")).select(row, "m.*")
     running = Window.partitionBy(row, "scan").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(running)
     kinds = F.element_at(F.array(*[F.lit(k) for _, k, _, _ in _SCANS]), F.col("scan") + 1)
     bases = F.element_at(F.array(*[F.lit(b) for _, _, b, _ in _SCANS]), F.col("scan") + 1)
-    placed = found.select(row, kinds.alias("k"), bases.alias("base"), (end - F.col("size")).alias("start"), end.alias("end"), "value", _context(F.col("left")).alias("context"))
+    placed = found.select(row, kinds.alias("k"), bases.alias("base"), (end - F.col("size")).alias("start"), end.alias("end"), "value", "contexts")
     number = F.when((F.col("k") == 2) & ~F.col("base") & (F.length(_digits(F.col("value"))) < 13), 3).otherwise(F.col("k"))
     placed = placed.withColumn("kind", number).where(~F.col("base") | _valid(F.col("k"), F.col("value")))
     by_start = Window.partitionBy(row).orderBy("start", "end")
@@ -108,7 +125,7 @@ def occurrences(scans: DataFrame, row: str = "_n") -> DataFrame:
     free = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
     value = F.when(F.col("kind") == 0, F.lower("value")).otherwise(_digits(F.col("value")))
     return placed.withColumn("_free", F.col("base") | free).where("_free").select(
-        row, "kind", "start", "end", "base", value.alias("value"), F.when(F.col("context").isNotNull(), F.xxhash64("kind", "context")).alias("pattern")
+        row, "kind", "start", "end", "base", value.alias("value"), F.transform("contexts", lambda c: F.xxhash64("kind", c)).alias("patterns")
     )
 
 
@@ -117,27 +134,31 @@ def confident_patterns(found: DataFrame) -> DataFrame:
 
     Edges are distinct, so a value or a context that fills the table weighs once; sums are taken before anything is shuffled.
     """
-    edges = found.where("pattern IS NOT NULL").select("pattern", F.xxhash64("kind", "value").alias("instance"), F.col("base").cast("int").alias("seed"))
+    edges = found.select(F.explode("patterns").alias("pattern"), F.xxhash64("kind", "value").alias("instance"), F.col("base").cast("int").alias("seed"))
     edges = durable(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    seeds = edges.groupBy("instance").agg(F.max("seed").alias("trust")).where("trust = 1").select("instance", F.col("trust").cast("double").alias("trust"))
-    trust, confident = seeds, None
-    for _ in range(ROUNDS):
+    seeds = durable(edges.groupBy("instance").agg(F.max("seed").alias("trust")).where("trust = 1").select("instance", F.col("trust").cast("double").alias("trust")))
+    trust, known = seeds, None
+    while True:
         scored = edges.join(trust, "instance", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
         share = (F.sum("trust") / (F.count(F.lit(1)) + SMOOTH)).alias("confidence")
         confident = durable(scored.groupBy("pattern").agg(share, F.sum((F.col("trust") >= CONFIDENT).cast("int")).alias("support")).where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)))
+        n, total = confident.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if n == 0 or (known is not None and known[0] == n and total - known[1] < RESTS):
+            return confident.select("pattern")
+        known = n, total
         reached = edges.join(maybe_broadcast(confident), "pattern").select("instance", F.col("confidence").alias("trust"))
-        trust = reached.unionByName(seeds).groupBy("instance").agg(F.max("trust").alias("trust"))
-    return confident.select("pattern")
+        trust = durable(reached.unionByName(seeds).groupBy("instance").agg(F.max("trust").alias("trust")))
 
 
 def find_spans(scans: DataFrame, row: str = "_n") -> DataFrame:
     """Every span to report: ``row, kind, start, end, base``; those beyond the base rules come from trusted patterns."""
     found = durable(occurrences(scans, row))
     trusted = maybe_broadcast(durable(confident_patterns(found)))
-    more = found.where("NOT base").join(trusted, "pattern", "left_semi").select(row, "kind", "start", "end", "base")
+    span = [row, "kind", "start", "end", "base"]
+    more = found.where("NOT base").select(*span, F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi").select(*span).distinct()
     earlier = F.max("end").over(Window.partitionBy(row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     more = more.withColumn("_e", earlier).where("_e IS NULL OR _e <= start").drop("_e")
-    return found.where("base").select(row, "kind", "start", "end", "base").unionByName(more)
+    return found.where("base").select(*span).unionByName(more)
 
 
 def _listed(spans: Column) -> Column:
@@ -148,7 +169,8 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, counts of base matches by kind, ``base_sha256`` of their spans, and all ``spans``.
 
-    Null and empty texts have no spans. Rows that repeat a doc_id get one row each; other columns are ignored.
+    Null and empty texts have no spans. Rows that repeat a doc_id, or have none, get one row each; other columns are ignored; an
+    empty table gives no rows. Texts are read whole, and no expression tries a place twice, so very long ones cost in proportion.
     """
     scans = scanned(docs, ("doc_id",))
     one = F.struct("kind", "start", "end")
@@ -167,19 +189,21 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All columns stay; a null text stays null.
+    All columns stay, whatever their names; a null text stays null, an empty one empty. Repeated rows are treated alike; an empty
+    table gives no rows.
     """
-    rows = keyed(docs)
+    rows, name, spans = keyed(docs), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), f"{ROW}_spans"
     scans = scanned(rows, (ROW,))
-    spans = find_spans(scans).groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).join(scans.select(ROW, "_n"), "_n").drop("_n")
-    name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), s["at"] + 1, (x["start"] - s["at"]).cast("int"))
-        fresh = F.concat(s["out"], F.array(gap, F.element_at(name, x["kind"] + 1)))
-        return F.struct(F.greatest(s["at"], x["end"].cast("int")).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", zero, step, rest))
-    return rows.join(spans, ROW, "left").select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    earlier = Window.partitionBy("_n").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = find_spans(scans).withColumn("reach", F.coalesce(F.max("end").over(earlier), F.lit(0)).cast("long"))
+    listed = fresh.groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "reach"))).alias(spans))
+    listed = listed.join(scans.select(ROW, "_n"), "_n").drop("_n")
+
+    def clean(text: Column, found: Column) -> Column:
+        cut = lambda start, end: F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+        pieces = F.transform(F.filter(found, lambda x: x["start"] >= x["reach"]), lambda x: F.concat(cut(x["reach"], x["start"]), F.element_at(name, x["kind"] + 1)))
+        return F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform(found, lambda x: x["end"])), F.length(text).cast("long")))
+
+    text = F.col("text")
+    redacted = F.when(F.col(spans).isNull(), text).otherwise(clean(text, F.col(spans)))
+    return rows.join(listed, ROW, "left").select(*[redacted.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

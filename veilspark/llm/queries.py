@@ -36,7 +36,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first batch counts an end id with every document; the second takes it out of all counts and moves the documents of languages
     other than English to version 2 of the tokenizer. The third deletes a third of the documents, with the text they have, and those of
-    version 2 without text; the fourth inserts the third again, but for the latter. The state lives in the shared folder of this run.
+    version 2 without text; the fourth inserts the third again, but for the latter. The first two batches
+    are folded into a snapshot. The state lives in the shared folder and is removed at the end.
     """
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
@@ -55,7 +56,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch_id, changes in batches.items():
         rollup.apply(batch_id, changes)
         rollup.apply(batch_id, changes)
-    return rollup.totals()
+        if batch_id == "0002":
+            rollup.fold()
+    totals = durable(rollup.totals())
+    rollup.remove()
+    return totals
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
