@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions.masks import mask_value
 from ..functions.text import between, let
+from ..sources.tables import scan_input
+from . import spatial
 from .catalog import RESIDUAL, RISK
 from .detect import detect
 
@@ -46,6 +48,32 @@ def detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, te
     )
 
 
+def request_detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None) -> DataFrame:
+    """The composed scan of requests: tokens that were given, else those read from the image, else the text; columns as in ``detections``.
+
+    df has ``tokens``, an array of (text, bbox), ``ocr``, an array of ``spatial.TOKEN``, and ``text``; each may be null. A request
+    without any of them, or whose text cannot be scanned, has no rows.
+    """
+    cfg = cfg or ScanConfig()
+    tokens, text = scan_input(spatial.tokens_of_request(F.col("tokens")), F.col("ocr"), F.col("text"))
+    rows = df.select(*keys, tokens.alias("_tokens"), F.when(failed(text), None).otherwise(text).alias("_text"))
+    sure = F.filter(spatial.locate(F.coalesce("_tokens", F.array().cast(f"array<{spatial.TOKEN}>")), cfg), lambda d: F.round(d["confidence"] * 100, 6) >= cfg.redact_from)
+    nowhere = F.struct(*[F.lit(0.0).alias(n) for n in "xywh"])
+    read = F.transform(detect(F.coalesce("_text", F.lit("")), cfg), lambda m: F.struct(m["type"].alias("type"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["value"].alias("value"), nowhere.alias("box")))
+    found = F.when(F.col("_tokens").isNotNull(), sure).otherwise(read.cast(f"array<{spatial.LOCATED}>"))
+    return rows.select(*keys, F.explode_outer(found).alias("_d")).where("_d IS NOT NULL").select(
+        *keys,
+        F.col("_d.type").alias("type"),
+        mask_value(F.col("_d.type"), F.col("_d.value")).alias("text"),
+        F.col("_d.confidence").alias("confidence"),
+        F.col("_d.severity").alias("severity"),
+        F.array(*[F.bround(F.col(f"_d.box.{n}"), 2) for n in "xywh"]).alias("bbox"),
+        F.lit("protected").alias("status"),
+        F.lit(True).alias("verification_passed"),
+        F.lit(1).alias("attempts"),
+    )
+
+
 def severity_weight(severity: Column) -> Column:
     return F.coalesce(*[F.when(severity == k, v) for k, v in RISK.items()], F.lit(8))
 

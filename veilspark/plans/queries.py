@@ -169,6 +169,16 @@ def account_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(table(spark, sf_dir, "customer"), ["c_custkey"], text, ["JWT_TOKEN", "IBAN", "UPI_ID", "CRYPTO_WALLET", "MAC_ADDRESS"]).select("c_custkey", "type", "severity", "value", "start", "end", "confidence")
 
 
+def request_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with tokens, with words read from an image, with a text only, and with all three, of which the tokens are used."""
+    boxed = F.array(F.struct(F.lit("Card").alias("text"), F.array(*map(F.lit, (10.0, 50.0, 40.0, 20.0))).alias("bbox")), F.struct(F.expr(_N16).alias("text"), F.array(*map(F.lit, (60.0, 50.0, 180.0, 20.0))).alias("bbox")), F.struct(F.lit("lost").alias("text"), F.array(F.lit(1.0)).alias("bbox")))
+    seen = F.array(F.struct(F.expr("concat('u', c_custkey, '@shop.example')").alias("text"), *[F.lit(v).alias(n) for n, v in zip("xywh", (10.0, 10.0, 200.0, 20.0), strict=True)]))
+    k = F.col("c_custkey") % 5
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k.isin(0, 3), boxed).alias("tokens"), F.when(k.isin(1, 3), seen).alias("ocr"), F.when(k.isin(2, 3), F.expr("concat('SSN 123-45-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))")).alias("text"))
+    found = scan.request_detections(rows, ["c_custkey"], ScanConfig.of(["card", "email", "ssn"]))
+    return found.select("c_custkey", "type", "text", "confidence", "severity", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "status", "attempts")
+
+
 def located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers in positioned tokens: on one line behind a label, wrapped over two lines, and below a label."""
     word = lambda text, x, y, w: F.struct(F.expr(text).alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip("xywh", (x, y, w, 20), strict=True)])
@@ -264,7 +274,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, token_detections, card_luhn_by_source, ip_valid_by_source,
     email_documents, swift_hits, aadhaar_verhoeff, aadhaar_confidence, card_confidence, phone_confidence, context_points, label_anchored, secrets, national_ids, address_scores, custom_patterns,
-    failure_isolation, account_ids, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
+    failure_isolation, account_ids, request_scans, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
     pii_by_language_and_source, labels_against_pii, event_windows, event_sessions,
 )}
 
@@ -303,6 +313,10 @@ ORACLES = {
             ('MAC_ADDRESS', 'low', 0.9, '\b(?:[0-9A-Fa-f]{{2}}:){{5}}[0-9A-Fa-f]{{2}}\b')) AS x(type, severity, confidence, regex)),
         m AS (SELECT c_custkey, type, severity, CAST(confidence AS DOUBLE) AS confidence, text, unnest(regexp_extract_all(text, regex)) AS value FROM s, p)
         SELECT c_custkey, type, severity, value, strpos(text, value) - 1 AS start, strpos(text, value) - 1 + length(value) AS "end", confidence FROM m""",
+    "request_scans": f"""WITH c AS (SELECT c_custkey, c_custkey % 5 AS k, {_N16} AS n FROM customer)
+        SELECT c_custkey, 'CREDIT_CARD' AS type, 'XXXX XXXX XXXX ' || right(n, 4) AS text, 0.85 AS confidence, 'critical' AS severity, 57.6 AS x, 184.8 AS w, 'protected' AS status, 1 AS attempts FROM c WHERE k IN (0, 3) AND {_sql_luhn('n')}
+        UNION ALL SELECT c_custkey, 'EMAIL', 'u•••@s••.•••', 0.98, 'medium', 7.6, 204.8, 'protected', 1 FROM c WHERE k = 1
+        UNION ALL SELECT c_custkey, 'SSN', 'XXX-XX-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), 0.9, 'critical', 0.0, 0.0, 'protected', 1 FROM c WHERE k = 2""",
     "located_cards": f"""WITH c AS (SELECT c_custkey, c_custkey % 3 AS k, {_N16} AS n FROM customer) SELECT c_custkey, 'CREDIT_CARD' AS type, 'XXXX XXXX XXXX ' || right(n, 4) AS text,
         CASE k WHEN 1 THEN 0.6 ELSE 0.85 END AS confidence, CASE k WHEN 0 THEN 57.6 WHEN 1 THEN 4.0 ELSE 7.6 END AS x, CASE k WHEN 1 THEN 44.0 ELSE 47.6 END AS y,
         CASE k WHEN 1 THEN 102.0 ELSE 199.8 END AS w, CASE k WHEN 1 THEN 62.0 ELSE 24.8 END AS h FROM c WHERE {_sql_luhn('n')}""",
