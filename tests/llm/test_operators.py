@@ -540,3 +540,28 @@ def test_pipeline(spark, texts):
             assert sum(len(re.findall(r"\[(?:EMAIL|IP|CARD|PHONE)\]", t)) for t in now.values()) >= sum(bool(brute.personal(t)) for t in kept.values())
         kept = now
     assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, SF).collect()} == set(kept)
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_on_odd_tables(spark, odd, number):
+    """Nulls, repeats, ties, long texts and clashing columns: what a stage keeps is whole rows of its input, and no row is invented."""
+    import corpus_pipeline as pipeline
+
+    name, stage = pipeline.STAGES[number]
+    rows = stage(spark, odd, SF).collect()
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    given = Counter(map(str, odd.collect()))
+    if number == 4:
+        assert Counter(r.doc_id for r in rows) >= Counter(r.doc_id for r in odd.collect())
+    elif number == 3:
+        assert len(rows) == len(ODD) and {r["a.b"] for r in rows} == {"clash"} and sum(r.text is None for r in rows) == 1
+        assert any("[CARD]" in (r.text or "") and "[EMAIL]" in r.text for r in rows)
+    else:
+        assert not Counter(map(str, rows)) - given
+        kept = Counter(r.text for r in rows)
+        if number == 0:
+            assert set(kept) <= {LONG}
+        elif number == 1:
+            assert set(kept) == {t or "" if t else t for _, t, *_ in ODD if t} | {"" if "" in kept else None} and max(kept.values()) == 1
+        else:
+            assert len(rows) == 6 + 1 and kept[None] == kept[""] == 1
