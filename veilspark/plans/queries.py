@@ -12,10 +12,11 @@ from ..config import ALIASES, ScanConfig, normalize_type_column
 from ..functions import geometry, masks, validators
 from ..functions.text import between, has_any, plain, spans
 from ..operators import images, scan, scoring, spatial
-from ..operators.catalog import BY_KIND, RISK
+from ..operators.catalog import BY_KIND, PATTERNS, RISK
 from ..operators.detect import detect
 from ..sources.tables import merge_tokens, ocr_tokens, table
 from ..streaming.scan import sessions, windowed_counts
+from . import detection_sql as full
 
 _LETTERS = r"regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 
@@ -49,16 +50,21 @@ def _candidates(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return df.select(*keys, F.explode(spans(F.coalesce("text", F.lit("")), f"(?U){BY_KIND[kind].regex}")).alias("m")).select(*keys, "m.*")
 
 
+def _flat(found: DataFrame) -> DataFrame:
+    """Detections with the four numbers of their box as columns."""
+    return found.select(*[c for c in found.columns if c != "bbox"], *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")])
+
+
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.detections(table(spark, sf_dir, "documents"), ["doc_id"])
+    return _flat(scan.detections(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.detections(table(spark, sf_dir, "pages"), ["page_id"], text="html")
+    return _flat(scan.detections(table(spark, sf_dir, "pages"), ["page_id"], text="html"))
 
 
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.detections(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return _flat(scan.detections(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]))
 
 
 def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +288,66 @@ _ALIAS_SQL = " ".join(f"WHEN k = '{a}' OR replace(k, ' ', '_') = '{a}' THEN '{t}
 _WEIGHTS = f"CASE l_linenumber % 4 WHEN 0 THEN {RISK['low']} WHEN 1 THEN {RISK['medium']} WHEN 2 THEN {RISK['high']} ELSE {RISK['critical']} END"
 _CARD = r"regexp_extract_all(" + _LETTERS + r", '\b(?:\d[ -]?){12,18}\d\b')"
 
+
+
+_K4 = _digits("c_custkey", 7919, 4)
+#: Messages of all types, several in one text, with words for and against them, on both sides of the limits; by key, in both dialects.
+_MESSAGES = [
+    f"concat('Card number: ', {_N16}, ' valid thru 0', c_custkey % 10, '/2', c_custkey % 10, ' CVV ', {_K4})",
+    f"concat('Invoice for card ', {_N16}, ', order number ', {_N12})",
+    f"concat('ref ', {_N16}, ' and ', {_N12}, ' and ', substr({_N12}, 1, 4), '-', substr({_N12}, 5, 4), '-', substr({_N12}, 9, 4))",
+    f"concat('My Aadhaar Number: ', {_N12}, ', identity of ', c_name)",
+    f"concat('Phone: +91 98', {_N12}, '; mobile number 98765 4', {_K4}, ', call 555 123 ', {_K4}, ' on date')",
+    f"concat('server host ', c_custkey % 300, '.0.', c_custkey % 256, '.7 and ip address 10.1.', c_custkey % 256, '.', c_custkey % 260, ' mac 00:1B:44:11:3A:', right({_K4}, 2))",
+    f"concat('SWIFT code ABCDEF', substr({_K4}, 1, 2), ' IFSC HDFC0', right({_N12}, 6), ' IBAN DE', right({_K4}, 2), {_N16}, ' upi: c', c_custkey, '@okaxis')",
+    f"concat('mail u', c_custkey, '@shop.example, PAN ABCDE', {_K4}, 'F, SSN 123-45-', {_K4}, ', passport K123', {_K4}, ', AB12', {_K4}, 'C, 900101-123', {_K4})",
+    f"concat('Home Address: ', c_custkey % 500, ', Lake Street, Delhi - 600', right({_K4}, 3), '\n', 'Password: p', {_K4}, ' sk-live-', {_N16}, ' AKIA', {_N16})",
+    f"concat('exp ', substr({_K4}, 1, 2), ' / ', right({_K4}, 2), '; expiry 1', c_custkey % 4, '/27, cvc', ' is ', {_K4}, ' ghp_', {_N12}, {_N12}, {_N12}, ' wallet 0x', lpad({_N12}, 40, 'a'))",
+]
+_MESSAGE = f"CASE c_custkey % {len(_MESSAGES)} " + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(_MESSAGES[:-1])) + f" ELSE {_MESSAGES[-1]} END"
+
+
+def scan_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan of messages that hold all types of the catalog but for private keys and web tokens."""
+    return _flat(scan.detections(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MESSAGE).alias("text")), ["c_custkey"]))
+
+
+def message_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.summaries(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MESSAGE).alias("text")), ["c_custkey"])
+
+
+def message_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.report_totals(scan_messages(spark, sf_dir))
+
+
+def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = ScanConfig.of([p.kind for p in PATTERNS])
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MESSAGE).alias("text")).select("c_custkey", scan.redact_text(F.col("text"), cfg).alias("text"))
+
+
+QUERIES |= {f.__name__: f for f in (scan_messages, message_summaries, message_totals, redacted_messages)}
+
+
+def _scan_sql(source: str, keys: list[str], text: str = "text", kinds: list[str] | None = None) -> str:
+    return full.found_sql(source, keys, text, _sql_luhn("digits"), f"length(digits) = 12 AND {_sql_verhoeff('digits')}", _LETTERS, kinds)
+
+
+_SAID = f"(SELECT c_custkey, {_MESSAGE} AS text FROM customer)".replace("\\n", "\n")
+_MESSAGES_FOUND = _scan_sql(_SAID, ["c_custkey"])
+_DOCUMENTS, _TURNS = _scan_sql("documents", ["doc_id"]), _scan_sql("conversations", ["conv_id", "turn"])
+
 ORACLES = {
+    "scan_documents": full.detections_sql(_DOCUMENTS, ["doc_id"]),
+    "scan_pages": full.detections_sql(_scan_sql("pages", ["page_id"], "html"), ["page_id"]),
+    "scan_conversations": full.detections_sql(_TURNS, ["conv_id", "turn"]),
+    "document_summaries": full.summaries_sql(_DOCUMENTS, ["doc_id"]),
+    "report_documents": full.report_sql(_DOCUMENTS),
+    "report_totals": full.totals_sql(_TURNS),
+    "redacted_conversations": full.redacted_sql(_scan_sql("conversations", ["conv_id", "turn"], kinds=["EMAIL", "CREDIT_CARD", "PHONE", "IP_ADDRESS"]), ["conv_id", "turn"]),
+    "scan_messages": full.detections_sql(_MESSAGES_FOUND, ["c_custkey"]),
+    "message_summaries": full.summaries_sql(_MESSAGES_FOUND, ["c_custkey"]),
+    "message_totals": full.totals_sql(_MESSAGES_FOUND),
+    "redacted_messages": full.redacted_sql(_scan_sql(_SAID, ["c_custkey"], kinds=[p.kind for p in PATTERNS]), ["c_custkey"]),
     "card_luhn_by_source": f"WITH c AS (SELECT source, unnest({_CARD}) AS v FROM documents), d AS (SELECT source, regexp_replace(v, '[^0-9]', '', 'g') AS s FROM c) SELECT source, count(*) AS n FROM d WHERE {_sql_luhn('s')} GROUP BY source",
     "ip_valid_by_source": rf"WITH c AS (SELECT source, unnest(regexp_extract_all({_LETTERS}, '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b')) AS v FROM documents) SELECT source, count(*) AS n FROM c WHERE list_bool_and(list_transform(string_split(v, '.'), lambda p: CAST(p AS INT) <= 255 AND (length(p) = 1 OR p[1] <> '0'))) GROUP BY source",
     "email_documents": rf"SELECT source, lang, count(*) AS n FROM documents WHERE regexp_matches({_LETTERS}, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b') GROUP BY source, lang",
