@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import HOT_KEYS, durable
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+def _lowest(edges: DataFrame) -> DataFrame:
+    """``u, low, n``: the smallest neighbour and how many there are, summed before they are shuffled."""
+    return edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(edges: DataFrame, lows: DataFrame, total: int) -> DataFrame:
+    """The edges with ``low``. Hubs, of which there are fewer than ``HOT_KEYS``, come to their edges by a broadcast; others are shuffled."""
+    hubs = F.broadcast(lows.where(F.col("n") * HOT_KEYS > total).select("u", "low"))
+    marked = edges.join(hubs, "u", "left")
+    return marked.where("low IS NOT NULL").unionByName(marked.where("low IS NULL").drop("low").join(lows.select("u", "low"), "u"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    return _with_low(both, _lowest(both), 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.where("u > v")
-    lows = _min_neighbour(down)
-    moved = down.join(lows, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    lows = _lowest(down)
+    moved = _with_low(down, lows, total).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(lows.select("u", F.col("low").alias("v"))).distinct()
 
 
@@ -32,9 +40,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     rounds, which no graph that fits on disks needs, are an error rather than a partial result.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = (edges.count(), None)
     for _ in range(rounds):
-        edges = durable(_small_star(_large_star(edges)))
+        edges = durable(_small_star(_large_star(edges, state[0]), state[0]))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if tuple(now) == state:
             break
