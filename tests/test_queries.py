@@ -42,3 +42,16 @@ def test_stream_equals_batch(spark, tmp_path):
     cfg = ScanConfig.of(["EMAIL", "CREDIT_CARD", "IP_ADDRESS"])
     scan_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "cp"), ["doc_id"], cfg).awaitTermination(120)
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, detections(docs, ["doc_id"], cfg).collect()))
+
+
+def test_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    from veilspark.config import ScanConfig
+    from veilspark.operators.client import observed
+    from veilspark.operators.scan import detections
+
+    texts = spark.createDataFrame([(1, "mail a@b.example"), (2, "SSN 123-45-6789 and c@d.example"), (3, None)], "id int, text string")
+    metrics = Observation("scan")
+    assert observed(detections(texts, ["id"], ScanConfig.of(["email", "ssn"])), metrics).count() == 3
+    assert metrics.get == {"total": 3, "critical": 1, "protected": 3}

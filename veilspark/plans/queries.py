@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ALIASES, ScanConfig, normalize_type_column
 from ..functions import geometry, masks, validators
 from ..functions.text import between, has_any, plain, spans
-from ..operators import images, scan, scoring, spatial
+from ..operators import client, images, scan, scoring, spatial
 from ..operators.catalog import BY_KIND, PATTERNS, RISK
 from ..operators.detect import detect
 from ..sources.tables import merge_tokens, ocr_tokens, table
@@ -185,7 +185,7 @@ def request_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "type", "text", "confidence", "severity", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "status", "attempts")
 
 
-def located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers in positioned tokens: on one line behind a label, wrapped over two lines, and below a label."""
     word = lambda text, x, y, w: F.struct(F.expr(text).alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip("xywh", (x, y, w, 20), strict=True)])
     part = lambda i: f"substring({_N16}, {4 * i + 1}, 4)"
@@ -194,7 +194,11 @@ def located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = F.array(word("'Card'", 10, 20, 40), *[word(part(i), 10 + 50 * i, 50, 45) for i in range(4)])
     kind = F.col("c_custkey") % 3
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(kind == 0, row).when(kind == 1, wrapped).otherwise(below).alias("tokens"))
-    found = spatial.token_detections(rows, ["c_custkey"], ScanConfig.of(["card"]))
+    return spatial.token_detections(rows, ["c_custkey"], ScanConfig.of(["card"]))
+
+
+def located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _located_cards(spark, sf_dir)
     return found.select("c_custkey", "type", "text", "confidence", *[F.col("bbox")[i].alias(n) for i, n in enumerate("xywh")])
 
 
@@ -325,7 +329,22 @@ def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MESSAGE).alias("text")).select("c_custkey", scan.redact_text(F.col("text"), cfg).alias("text"))
 
 
-QUERIES |= {f.__name__: f for f in (scan_messages, message_summaries, message_totals, redacted_messages)}
+def client_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.client_types(spark)
+
+
+def client_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as the client lists them, all its types on."""
+    found = scan.detections(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_MESSAGE).alias("text")), ["c_custkey"])
+    return client.client_detections(found, ["c_custkey"], F.lit(1024), F.lit(512), client.CLIENT_TYPES)
+
+
+def client_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located cards as the client draws them on an image of 1024 by 512."""
+    return client.client_detections(_located_cards(spark, sf_dir), ["c_custkey"], F.lit(1024), F.lit(512))
+
+
+QUERIES |= {f.__name__: f for f in (scan_messages, message_summaries, message_totals, redacted_messages, client_types, client_messages, client_boxes)}
 
 
 def _scan_sql(source: str, keys: list[str], text: str = "text", kinds: list[str] | None = None) -> str:
@@ -410,3 +429,21 @@ ORACLES = {
     "token_lines": r"SELECT item_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ ]'))) AS lines, len(regexp_extract_all(text, '[^ \n]+')) AS tokens FROM benchmark",
     "ocr_token_filter": "WITH p AS (SELECT p_partkey, CASE WHEN p_size * 2 >= 30 AND p_partkey % 4 > 0 THEN 1 ELSE 0 END AS first, CASE WHEN p_size * 2 >= 20 AND p_partkey % 4 > 0 THEN 1 ELSE 0 END AS second FROM part) SELECT p_partkey, first, second, first + second AS merged FROM p",
 }
+
+_CLIENT_SEVERITY = "CASE type " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in client.CLIENT_TYPES.items()) + " END"
+_CLIENT_ROWS = ", ".join(f"('{k}', '{label}', '{s}', {k in client.ENABLED})" for k, (label, s) in client.CLIENT_TYPES.items())
+
+
+def _client_sql(found: str, kinds: tuple[str, ...]) -> str:
+    named = ", ".join(f"'{k}'" for k in client.CLIENT_TYPES)
+    kept = ", ".join(f"'{k}'" for k in kinds)
+    return f"""SELECT c_custkey, type, masked, confidence, {_CLIENT_SEVERITY} AS severity, true AS protected, CASE WHEN w > 0 THEN x / 1024 ELSE 0 END AS x, CASE WHEN h > 0 THEN y / 512 ELSE 0 END AS y, w / 1024 AS width, h / 512 AS height
+        FROM (SELECT c_custkey, CASE WHEN type IN ({named}) THEN type ELSE 'CUSTOM' END AS type, text AS masked, floor(CAST(confidence AS DOUBLE) * 1000 + 0.5) / 10 AS confidence, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h FROM ({found}))
+        WHERE type IN ({kept})"""
+
+
+ORACLES |= {
+    "client_types": f"SELECT * FROM (VALUES {_CLIENT_ROWS}) AS t(type, label, severity, enabled)",
+    "client_messages": _client_sql(ORACLES["scan_messages"], tuple(client.CLIENT_TYPES)),
+    "client_boxes": _client_sql(ORACLES["located_cards"], client.ENABLED),
+}
