@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from ..config import ScanConfig
+from .detect import candidates
 
 #: Blur radius by severity, growth per attempt, attempts, and radii of frost and redaction.
 RADIUS, GROWTH, ATTEMPTS, FROST, REDACT = {"low": 8.0, "medium": 12.0, "high": 18.0, "critical": 24.0}, 0.6, 3, 14.0, 12.0
@@ -119,3 +126,79 @@ def protect_images(images: DataFrame, mode: str = "blur") -> DataFrame:
             yield pd.DataFrame(rows, columns=["image_id", "data", "attempts", "verified"])
 
     return images.select("image_id", "height", "width", "data", "boxes").mapInPandas(run, "image_id long, data binary, attempts array<int>, verified array<boolean>")
+
+
+def png(image: np.ndarray) -> bytes:
+    """An RGB image as a PNG file."""
+    h, w = image.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, w * 3)], axis=1)
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(rows.tobytes())), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in parts)
+
+
+@F.pandas_udf(BinaryType())
+def png_of(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """RGB bytes as PNG files; null stays null."""
+    return pd.Series([None if d is None else png(np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3)) for d, h, w in zip(data, height, width, strict=True)])
+
+
+def _attempt(mode: str, read: Callable[[np.ndarray], str] | None, attempt: int) -> Callable[..., Column]:
+    """One attempt at the regions that are not safe yet: the image, detail before the first attempt and now, and what can still be read."""
+
+    def again(pixels: np.ndarray, kind: str) -> str | None:
+        if read is None or kind == "CUSTOM_PATTERN":
+            return None
+        try:
+            return read(pixels)
+        except Exception:  # a reader that fails says nothing of the region, so its detail decides
+            return None
+
+    def one(h: float, w: float, data: bytes | None, boxes: np.ndarray, before: np.ndarray | None, attempts: np.ndarray, safe: np.ndarray) -> tuple:
+        if data is None or all(safe):
+            return data, before, None, None, attempts
+        image = np.frombuffer(data, np.uint8).reshape(int(h), int(w), 3).copy()
+        first, now, left = [0.0] * len(boxes) if before is None else list(before), [0.0] * len(boxes), [None] * len(boxes)
+        for i, b in enumerate(boxes):
+            box = (b["x"], b["y"], b["w"], b["h"])
+            at = region(image, box)
+            if safe[i] or at is None:
+                continue
+            if before is None:
+                first[i] = detail(image[at])
+            protect(image, box, b["severity"], mode, attempt)
+            now[i], left[i] = detail(image[at]), again(image[at], b["type"])
+        return image.tobytes(), first, now, left, [n if ok else attempt for n, ok in zip(attempts, safe, strict=True)]
+
+    def run(height: pd.Series, width: pd.Series, data: pd.Series, boxes: pd.Series, before: pd.Series, attempts: pd.Series, safe: pd.Series) -> pd.DataFrame:
+        rows = [one(*row) for row in zip(height, width, data, boxes, before, attempts, safe, strict=True)]
+        return pd.DataFrame(rows, columns=["data", "before", "after", "left", "attempts"])
+
+    # opaque to the optimizer, which might otherwise copy it to each of its uses
+    return F.pandas_udf(run, "data binary, before array<double>, after array<double>, left array<string>, attempts array<int>").asNondeterministic()
+
+
+def protect_regions(df: DataFrame, cfg: ScanConfig, read: Callable[[np.ndarray], str] | None = None) -> DataFrame:
+    """df with ``data`` obfuscated in its ``regions``, and ``attempts`` and ``verified``, arrays in their order.
+
+    df: height, width int, data binary (RGB, row by row; null: no image), regions array of ``spatial.LOCATED``, not null. Each region is
+    protected up to three times, each time on what the last one left, until it is safe. ``read`` tells the text in the pixels of a
+    region: it is safe once no candidate of its type is left there. Without it, where it fails, and for users' patterns, its detail must have
+    gone. A region without extent, or of a row without image, is not touched and counts as safe. A round goes over all regions
+    before the next begins, which only matters where regions overlap.
+    """
+    known = replace(cfg, custom=())
+    boxes = F.transform("regions", lambda r: F.struct(r["type"].alias("type"), r["severity"].alias("severity"), *[r["box"][n].alias(n) for n in "xywh"]))
+    nothing = lambda r: F.col("data").isNull() | ~((r["box"]["w"] > 0) & (r["box"]["h"] > 0))
+    df = df.withColumns({"_before": F.lit(None).cast("array<double>"), "verified": F.transform("regions", nothing), "attempts": F.transform("regions", lambda r: F.lit(1))})
+
+    def left_over(i: Column) -> Column | None:
+        text = F.get("_r.left", i)
+        if read is None:
+            return None
+        return F.when(text.isNotNull(), F.size(F.filter(candidates(text, known), lambda c: c["type"] == F.get("regions", i)["type"])))
+
+    for attempt in range(1, ATTEMPTS + 1):
+        safe = F.transform("verified", lambda ok, i: ok | F.coalesce(is_protected(F.get("_r.before", i), F.get("_r.after", i), left_over(i)), F.lit(False)))
+        df = df.withColumn("_r", _attempt(cfg.mode, read, attempt)("height", "width", "data", boxes, "_before", "attempts", "verified"))
+        df = df.withColumns({"data": F.col("_r.data"), "_before": F.col("_r.before"), "attempts": F.col("_r.attempts"), "verified": safe})
+    return df.drop("_before", "_r")

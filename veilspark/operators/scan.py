@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..config import ScanConfig
 from ..functions.masks import mask_value
 from ..functions.text import between, let
 from ..sources.tables import scan_input
-from . import spatial
+from . import images, spatial
 from .catalog import RESIDUAL, RISK
 from .detect import detect
 
@@ -48,19 +51,23 @@ def detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, te
     )
 
 
+def _regions(tokens: Column, text: Column, cfg: ScanConfig, width: Column | None = None, height: Column | None = None) -> Column:
+    """Detections in tokens, or else in a text, where they have no box; those below the threshold are left out."""
+    sure = F.filter(spatial.locate(F.coalesce(tokens, F.array().cast(f"array<{spatial.TOKEN}>")), cfg, width, height), lambda d: F.round(d["confidence"] * 100, 6) >= cfg.redact_from)
+    nowhere = F.struct(*[F.lit(0.0).alias(n) for n in "xywh"])
+    read = F.transform(detect(F.coalesce(text, F.lit("")), cfg), lambda m: F.struct(m["type"].alias("type"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["value"].alias("value"), nowhere.alias("box")))
+    return F.when(tokens.isNotNull(), sure).otherwise(read.cast(f"array<{spatial.LOCATED}>"))
+
+
 def request_detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None) -> DataFrame:
     """The composed scan of requests: tokens that were given, else those read from the image, else the text; columns as in ``detections``.
 
     df has ``tokens``, an array of (text, bbox), ``ocr``, an array of ``spatial.TOKEN``, and ``text``; each may be null. A request
     without any of them, or whose text cannot be scanned, has no rows.
     """
-    cfg = cfg or ScanConfig()
     tokens, text = scan_input(spatial.tokens_of_request(F.col("tokens")), F.col("ocr"), F.col("text"))
     rows = df.select(*keys, tokens.alias("_tokens"), F.when(failed(text), None).otherwise(text).alias("_text"))
-    sure = F.filter(spatial.locate(F.coalesce("_tokens", F.array().cast(f"array<{spatial.TOKEN}>")), cfg), lambda d: F.round(d["confidence"] * 100, 6) >= cfg.redact_from)
-    nowhere = F.struct(*[F.lit(0.0).alias(n) for n in "xywh"])
-    read = F.transform(detect(F.coalesce("_text", F.lit("")), cfg), lambda m: F.struct(m["type"].alias("type"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["value"].alias("value"), nowhere.alias("box")))
-    found = F.when(F.col("_tokens").isNotNull(), sure).otherwise(read.cast(f"array<{spatial.LOCATED}>"))
+    found = _regions(F.col("_tokens"), F.col("_text"), cfg or ScanConfig())
     return rows.select(*keys, F.explode_outer(found).alias("_d")).where("_d IS NOT NULL").select(
         *keys,
         F.col("_d.type").alias("type"),
@@ -74,6 +81,48 @@ def request_detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None =
     )
 
 
+def responses(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, read: Callable[[np.ndarray], str] | None = None) -> DataFrame:
+    """The whole answer to each request, one row: keys, status, detections, total_detections, critical_count, protected_count, privacy_score, height, width, data.
+
+    df is as in ``request_detections``, with height, width int and ``data`` binary (RGB, row by row). Regions of an image are obfuscated
+    as ``cfg.mode`` says and read again by ``read`` (see ``images.protect_regions``); ``data`` is the image after that. Null data, or of
+    another size than stated, is no image: tokens that were given are used then, or the text, but no words. With an image the text is not
+    read. detections is an array of
+    (type, text, confidence, severity, bbox, status, verification_passed, attempts), masked. Where a text cannot be scanned, status is
+    failed and the score 50 at most.
+    """
+    cfg = cfg or ScanConfig()
+    whole = F.coalesce(F.length("data") == F.col("height").cast("long") * F.col("width") * 3, F.lit(False))
+    tokens, text = scan_input(spatial.tokens_of_request(F.col("tokens")), F.when(whole, F.coalesce("ocr", F.array().cast(f"array<{spatial.TOKEN}>"))), F.col("text"))
+    bad = F.coalesce(failed(text), F.lit(False))
+    given = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    rows = df.select(*given, "height", "width", F.when(whole, F.col("data")).alias("data"), tokens.alias("_tokens"), F.when(~bad, text).alias("_text"), bad.alias("_failed"))
+    size = (F.nullif(n.cast("double"), F.lit(0.0)) for n in (F.col("width"), F.col("height")))
+    done = images.protect_regions(rows.withColumn("regions", _regions(F.col("_tokens"), F.col("_text"), cfg, *size)), cfg, read)
+
+    def shown(r: Column, i: Column) -> Column:
+        return F.struct(
+            r["type"].alias("type"), mask_value(r["type"], r["value"]).alias("text"), r["confidence"].alias("confidence"), r["severity"].alias("severity"),
+            F.array(*[F.bround(r["box"][n], 2) for n in "xywh"]).alias("bbox"), F.lit("protected").alias("status"),
+            F.get("verified", i).alias("verification_passed"), F.get("attempts", i).alias("attempts"),
+        )
+
+    n = F.size("regions")
+    weights = F.aggregate("regions", F.lit(0), lambda a, r: a + severity_weight(r["severity"]))
+    return done.select(
+        *[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)],
+        F.when(F.col("_failed"), "failed").otherwise("completed").alias("status"),
+        F.transform("regions", shown).alias("detections"),
+        n.alias("total_detections"),
+        F.size(F.filter("regions", lambda r: r["severity"] == "critical")).alias("critical_count"),
+        n.alias("protected_count"),
+        privacy_score(weights, n, F.col("_failed")).alias("privacy_score"),
+        "height",
+        "width",
+        "data",
+    )
+
+
 def severity_weight(severity: Column) -> Column:
     return F.coalesce(*[F.when(severity == k, v) for k, v in RISK.items()], F.lit(8))
 

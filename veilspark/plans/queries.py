@@ -185,6 +185,18 @@ def request_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "type", "text", "confidence", "severity", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "status", "attempts")
 
 
+def image_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole answers to requests with a striped image, in which an address is painted over, and with a text instead of an image."""
+    seen = F.array(F.struct(F.expr("concat('u', c_custkey, '@shop.example')").alias("text"), *[F.lit(v).alias(n) for n, v in zip("xywh", (4.0, 4.0, 40.0, 8.0), strict=True)]))
+    stripes = F.unhex(F.repeat(F.lit("000000FFFFFF"), F.when(F.col("c_custkey") % 2 == 0, 480).otherwise(479)))
+    said = F.expr("concat('SSN 123-45-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CAST(null AS array<struct<text:string,bbox:array<double>>>)").alias("tokens"), seen.alias("ocr"), said.alias("text"), F.lit(16).alias("height"), F.lit(60).alias("width"), stripes.alias("data"))
+    done = scan.responses(rows, ["c_custkey"], ScanConfig.of(["email", "ssn"], mode="redact"))
+    ink = "".join(f"{v:02X}" for v in images.INK)
+    shown = done.select("c_custkey", "status", "privacy_score", "critical_count", (F.size(F.split(F.hex("data"), ink)) - 1).alias("painted"), F.explode_outer("detections").alias("d"))
+    return shown.select("c_custkey", "status", "privacy_score", "critical_count", F.when(F.col("painted") >= 0, F.col("painted")).alias("painted"), "d.type", "d.text", "d.attempts", F.col("d.verification_passed").alias("verified"))
+
+
 def _located_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers in positioned tokens: on one line behind a label, wrapped over two lines, and below a label."""
     word = lambda text, x, y, w: F.struct(F.expr(text).alias("text"), *[F.lit(float(v)).alias(n) for n, v in zip("xywh", (x, y, w, 20), strict=True)])
@@ -284,7 +296,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, token_detections, card_luhn_by_source, ip_valid_by_source,
     email_documents, swift_hits, aadhaar_verhoeff, aadhaar_confidence, card_confidence, phone_confidence, context_points, label_anchored, secrets, national_ids, address_scores, custom_patterns,
-    failure_isolation, account_ids, request_scans, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
+    failure_isolation, account_ids, request_scans, image_responses, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
     pii_by_language_and_source, labels_against_pii, event_windows, event_sessions,
 )}
 
@@ -401,6 +413,9 @@ ORACLES = {
         SELECT c_custkey, 'CREDIT_CARD' AS type, 'XXXX XXXX XXXX ' || right(n, 4) AS text, 0.85 AS confidence, 'critical' AS severity, 57.6 AS x, 184.8 AS w, 'protected' AS status, 1 AS attempts FROM c WHERE k IN (0, 3) AND {_sql_luhn('n')}
         UNION ALL SELECT c_custkey, 'EMAIL', 'u•••@s••.•••', 0.98, 'medium', 7.6, 204.8, 'protected', 1 FROM c WHERE k = 1
         UNION ALL SELECT c_custkey, 'SSN', 'XXX-XX-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), 0.9, 'critical', 0.0, 0.0, 'protected', 1 FROM c WHERE k = 2""",
+    "image_responses": f"""SELECT c_custkey, 'completed' AS status, CAST(round(100 - 0.06 * {RISK['medium']}, 1) AS DOUBLE) AS privacy_score, 0 AS critical_count, 41 * 9 AS painted, 'EMAIL' AS type, 'u•••@s••.•••' AS text, 1 AS attempts, true AS verified
+        FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT c_custkey, 'completed', CAST(round(100 - 0.06 * {RISK['critical']}, 1) AS DOUBLE), 1, NULL, 'SSN', 'XXX-XX-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), 1, true FROM customer WHERE c_custkey % 2 = 1""",
     "located_cards": f"""WITH c AS (SELECT c_custkey, c_custkey % 3 AS k, {_N16} AS n FROM customer) SELECT c_custkey, 'CREDIT_CARD' AS type, 'XXXX XXXX XXXX ' || right(n, 4) AS text,
         CASE k WHEN 1 THEN 0.6 ELSE 0.85 END AS confidence, CASE k WHEN 0 THEN 57.6 WHEN 1 THEN 4.0 ELSE 7.6 END AS x, CASE k WHEN 1 THEN 44.0 ELSE 47.6 END AS y,
         CASE k WHEN 1 THEN 102.0 ELSE 199.8 END AS w, CASE k WHEN 1 THEN 62.0 ELSE 24.8 END AS h FROM c WHERE {_sql_luhn('n')}""",

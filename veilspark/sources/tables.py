@@ -74,6 +74,6 @@ def run_ocr(images: DataFrame, key: str, content: str, ocr: Callable[[bytes, flo
 
 
 def scan_input(tokens: Column, ocr: Column, text: Column) -> tuple[Column, Column]:
-    """What is scanned, of which only one is used: tokens given, else those of the image, else the text. Returns (tokens, text)."""
-    given, read = F.coalesce(F.size(tokens) > 0, F.lit(False)), F.coalesce(F.size(ocr) > 0, F.lit(False))
+    """What is scanned, of which only one is used: tokens given, else those of the image, be there any or not, else the text. Returns (tokens, text)."""
+    given, read = F.coalesce(F.size(tokens) > 0, F.lit(False)), ocr.isNotNull()
     return F.when(given, tokens).when(read, ocr), F.when(~given & ~read, text)
