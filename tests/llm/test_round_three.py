@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import conversation_repair, queries, url_filter, vector_codes
+from veilspark.llm import conversation_repair, html_extract, queries, url_filter, vector_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -250,3 +250,110 @@ def test_codes_on_odd_tables(spark):
     assert sorted(((r["vec_id"], r["error"], r["label_error"]) for r in coded.collect()), key=str) == [(1, 0, 0), (1, 0, 0), (None, 0, 0)]
     huge, books = vector_codes.compress(spark.createDataFrame([(0, [3e38] * 8, 1), (1, [-3e38] * 8, 1)], schema), entries=1)
     assert [r["error"] for r in huge.collect()] == [None, None] and all(e[0][0] == 0 or abs(e[0][0]) < 1e36 for e in books)
+
+
+# HTML
+
+BROKEN = (
+    "<p ", '<a href="x ', "<![CDATA[ ", "<!-- ", "<!", "< ", "<script>a</script ", '<a ">" ', "<a '>\" ", "<a<", '<p a="b c=', "<div></p>", "<li><div>", "<dl><dd><div>", "<ul><li><div><div>", "<head>", "<svg>",
+    "<button>", "<h2>Comments</h2><p>x", "<article><h1>x", "&#11111", "&#0000",
+)
+
+
+@pytest.mark.parametrize("form", BROKEN)
+@pytest.mark.parametrize("tail", ["", "'", '">'])
+def test_broken_markup_takes_linear_time(form, tail):
+    import time
+
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        html_extract.main_text(form * (size // len(form)) + tail)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 and took[1] < 40 * max(took[0], 0.05)
+
+
+def test_many_different_siblings_take_linear_time():
+    import time
+
+    labels = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3)]
+    page = html_extract.Page("".join(f'<div class="c{x}">x</div>' for x in labels))
+    skeleton = page.skeleton()[0]
+    began = time.process_time()
+    assert len(html_extract.align(skeleton, skeleton + "\n1 p")) == len(labels) + 1 and time.process_time() - began < 3
+
+
+def plain_matching(one, other):
+    """The size of a largest matching of two trees of (label, children) by the textbook recursion over all pairs of children."""
+    if one[0] != other[0]:
+        return 0
+    best = [[0] * (len(other[1]) + 1) for _ in range(len(one[1]) + 1)]
+    for i, a in enumerate(one[1], 1):
+        for j, b in enumerate(other[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(a, b))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_all_pairs():
+    rng = random.Random(2)
+
+    def tree(depth):
+        labels = rng.sample("abcdef", rng.randint(0, 5) if depth else 0)
+        return [(x, tree(depth - 1)) for x in labels]
+
+    def lines(node, depth=0):
+        return [f"{depth} {node[0]}", *(x for c in node[1] for x in lines(c, depth + 1))]
+
+    for _ in range(200):
+        one, other = ("#", tree(3)), ("#", tree(3))
+        found = html_extract.align("\n".join(lines(one)), "\n".join(lines(other)))
+        assert len(found) == plain_matching(one, other)
+        kept = sorted(found)
+        assert [found[i] for i in kept] == sorted(found.values())
+
+
+def test_headers_buttons_and_readers_comments():
+    around = "<body><header><p>Site</p></header><main>{}</main>"
+    for page in (
+        "<article><header><h1>Title</h1><p>Lead</p></header><p>Body</p></article>", "<article><header><h3>Title</h3></header><p>Lead</p><p>Body</p></article>",
+        "<article><p>Title</p></article><article><h2>Lead</h2><p>Body</p></article>", '<h1>Title</h1><p>Lead</p><p>Body</p><div class="reader-comments"><p>c</p></div>', '<h1>Title</h1><p>Lead</p><p>Body</p><div id="user-reviews"><p>c</p></div>',
+        "<h1>Title</h1><p>Lead</p><p>Body</p><h2>Comments</h2><ul><li>c<li>d</ul>", "<h1>Title</h1><p>Lead</p><section><h2>3 comments</h2><p>c</p><h3>Anna</h3><p>d</p></section><p>Body</p>",
+        "<h1>Title</h1><p>Lead</p><label>Email</label><button>Subscribe</button><p>Body</p>", "<h1>Title</h1><h2>Comments (2)</h2><p>c</p><h2>Lead</h2><p>Body</p>",
+    ):
+        assert html_extract.main_text(around.replace("{}", page)) == "Title\nLead\nBody", page
+    assert html_extract.main_text("<main><p>one<button>x</button>two</p></main>") == "one two"
+    assert html_extract.main_text("<p>&#" + "1" * 5000 + "; &#" + "0" * 5000 + "65; &#x41;</p>") == "\ufffd A A"
+
+
+def test_wrappers_of_undeclared_pages_against_plain_counts(spark):
+    """Pages without article or main: what at least three different pages and 60 % of a host's pages say in the same place goes, the rest stays."""
+    rng = random.Random(9)
+    rows, blocks = [], {}
+    for host, n in (("a", 40), ("b", 7), ("c", 4), ("d", 2), ("e", 1)):
+        for i in range(n):
+            top, end = f"Top of {host}", f"{host} {'common' if rng.random() < 0.9 else f'rare {i}'} end"
+            own = [f"{host} {i} says {k}" for k in range(rng.randint(1, 5))] + (["Quoted by few"] if i % 4 == 0 else [])
+            blocks[len(rows)] = host, (top, *own, end)
+            html = f"<html><body><div class=one>{top}</div><div class=two>{''.join(f'<p>{x}</p>' for x in own)}</div><div class=three>{end}</div></body></html>"
+            rows.append((len(rows), f"http://{host}.example/{i}", html))
+    rows += [(1000 + i, u, h) for i, u, h in rows[:5]]  # copies count once
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    sizes, said = {}, {}
+    for host, texts in blocks.values():
+        sizes[host] = sizes.get(host, 0) + 1
+        for place, text in enumerate(("top", *["own"] * (len(texts) - 2), "end")):
+            said.setdefault((host, text, texts[place]), []).append(1)
+    for i, (host, texts) in blocks.items():
+        places = ("top", *["own"] * (len(texts) - 2), "end")
+        kept = [t for p, t in zip(places, texts, strict=True) if len(said[host, p, t]) < max(3, 0.6 * sizes[host])]
+        assert got[i] == "\n".join(kept), (host, i)
+    assert all(got[1000 + i] == got[i] for i in range(5))
+    assert spark.createDataFrame(rows, "page_id long, url string, html string").count() == len(got)
+
+
+def test_html_on_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, text string, n_chars int"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, None, None, "t", 1), (1, "http://a/", "", "h", None, None), (1, "http://a/", "<p>x</p>", "h", None, None), (2, "http://a/", "<p " * 300_000, "h", None, 1), (3, None, "y" * 3_000_000, "", "", 1)]
+    got = sorted((tuple(r) for r in html_extract.extract(spark.createDataFrame(rows, schema)).select("page_id", "n_chars").collect()), key=str)
+    assert got == [(1, 0), (1, 1), (2, 899_999), (3, 3_000_000), (None, 0)]
