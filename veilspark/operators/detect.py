@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import ScanConfig
+from ..config import CustomPattern, ScanConfig
+from ..effort import affordable
 from ..functions import validators
 from ..functions.text import between, bound, bound_sql, has_any, let, plain, quoted, running_sql, spans, spans_sql
 from . import scoring
@@ -104,6 +106,18 @@ def _custom(ord_: int, confidence: float, said: Column) -> Callable[[Column], Co
     return lambda x: _match(ord_, "CUSTOM_PATTERN", x["start"], x["end"], x["value"], F.lit(confidence), None, said)
 
 
+def _within_effort(text: Column, pattern: CustomPattern) -> Column:
+    """The text where the pattern can be run over it, else an empty one."""
+    return F.when(affordable(text, pattern.effort), text).otherwise("") if pattern.effort.runs else text
+
+
+def unfinished(text: Column, cfg: ScanConfig) -> Column:
+    """Whether some pattern of the user's was not run over a text, as its effort there is beyond the budget."""
+    read = text if cfg.custom_text is None else F.left(text, F.lit(cfg.custom_text))
+    costly = [~affordable(read, c.effort) for c in cfg.custom if c.effort.runs] if cfg.wants("CUSTOM_PATTERN") else []
+    return F.coalesce(reduce(Column.__or__, costly, F.lit(False)), F.lit(False))
+
+
 def candidates(text: Column, cfg: ScanConfig, explain: bool = False) -> Column:
     """All candidates of the enabled types, unresolved."""
     parts, constant = [], []
@@ -120,7 +134,7 @@ def candidates(text: Column, cfg: ScanConfig, explain: bool = False) -> Column:
     if cfg.wants("CUSTOM_PATTERN"):
         read = text if cfg.custom_text is None else F.left(text, F.lit(cfg.custom_text))
         for i, c in enumerate(cfg.custom):
-            seen = F.filter(spans(read, _regex(c.regex)), lambda x: F.length(x["value"]) > 0)
+            seen = F.filter(spans(_within_effort(read, c), _regex(c.regex)), lambda x: F.length(x["value"]) > 0)
             said = F.array(F.lit(f"custom pattern: {c.name}"), F.lit("user-defined pattern matched"))
             parts.append(F.transform(seen, _custom(len(PATTERNS) + 1 + i, round(min(0.99, c.confidence), 4), said)))
     if constant:

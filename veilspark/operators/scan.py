@@ -14,7 +14,7 @@ from ..functions.text import between, let
 from ..sources.tables import scan_input
 from . import images, spatial
 from .catalog import RESIDUAL, RISK
-from .detect import detect
+from .detect import detect, unfinished
 
 
 def with_matches(df: DataFrame, cfg: ScanConfig | None = None, text: str = "text", name: str = "matches", explain: bool = False) -> DataFrame:
@@ -88,15 +88,15 @@ def responses(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, rea
     as ``cfg.mode`` says and read again by ``read`` (see ``images.protect_regions``); ``data`` is the image after that. Null data, or of
     another size than stated, is no image: tokens that were given are used then, or the text, but no words. With an image the text is not
     read. detections is an array of
-    (type, text, confidence, severity, bbox, status, verification_passed, attempts), masked. Where a text cannot be scanned, status is
-    failed and the score 50 at most.
+    (type, text, confidence, severity, bbox, status, verification_passed, attempts), masked. Where a text cannot be scanned, or a user's
+    pattern would take too long over it, status is failed and the score 50 at most.
     """
     cfg = cfg or ScanConfig()
     whole = F.coalesce(F.length("data") == F.col("height").cast("long") * F.col("width") * 3, F.lit(False))
     tokens, text = scan_input(spatial.tokens_of_request(F.col("tokens")), F.when(whole, F.coalesce("ocr", F.array().cast(f"array<{spatial.TOKEN}>"))), F.col("text"))
-    bad = F.coalesce(failed(text), F.lit(False))
+    bad, slow = F.coalesce(failed(text), F.lit(False)), unfinished(text, cfg)
     given = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
-    rows = df.select(*given, "height", "width", F.when(whole, F.col("data")).alias("data"), tokens.alias("_tokens"), F.when(~bad, text).alias("_text"), bad.alias("_failed"))
+    rows = df.select(*given, "height", "width", F.when(whole, F.col("data")).alias("data"), tokens.alias("_tokens"), F.when(~bad, text).alias("_text"), (bad | slow).alias("_failed"))
     size = (F.nullif(n.cast("double"), F.lit(0.0)) for n in (F.col("width"), F.col("height")))
     done = images.protect_regions(rows.withColumn("regions", _regions(F.col("_tokens"), F.col("_text"), cfg, *size)), cfg, read)
 
@@ -140,8 +140,10 @@ def client_score(weights: Column, n: Column) -> Column:
 
 
 def summaries(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, text: str = "text") -> DataFrame:
-    """One row per document, also without detections; computed in the row. A text that cannot be scanned has status failed and 50 at most."""
-    m, bad = F.col("_matches"), failed(F.col(text))
+    """One row per document, also without detections; computed in the row. A text that cannot be scanned, or over which a user's pattern
+    would take too long, has status failed and 50 at most; in the latter all other patterns are found."""
+    cfg = cfg or ScanConfig()
+    m, bad = F.col("_matches"), failed(F.col(text)) | unfinished(F.col(text), cfg)
     weights = F.aggregate(m, F.lit(0), lambda a, x: a + severity_weight(x["severity"]))
     return with_matches(spread(df.select(*keys, text)), cfg, text, "_matches").select(
         *keys,

@@ -167,6 +167,18 @@ def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", "status", "total_detections", "privacy_score")
 
 
+#: A pattern whose repeats compete: what a text may cost is counted before it is run.
+_COSTLY = "[a-z]*[a-z]*[a-z]*[a-z][.]"
+
+
+def pattern_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that takes time without end on some texts, over whole documents: where it would, the row has status failed and its other detections."""
+    cfg = ScanConfig.of(["ip_address", "custom"], [{"name": "end of sentence", "regex": _COSTLY}])
+    text = F.expr("CASE WHEN doc_id % 50 = 7 THEN concat(text, ' ', repeat('ab', 10000), ' 10.0.0.1') ELSE text END")
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return scan.summaries(rows, ["doc_id"], cfg).select("doc_id", "status", "total_detections")
+
+
 def account_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers with a form of their own that no test table holds, composed from keys, between words and in a text of several lines."""
     hex40 = "lpad(lower(hex(c_custkey)), 40, '0')"
@@ -296,7 +308,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, token_detections, card_luhn_by_source, ip_valid_by_source,
     email_documents, swift_hits, aadhaar_verhoeff, aadhaar_confidence, card_confidence, phone_confidence, context_points, label_anchored, secrets, national_ids, address_scores, custom_patterns,
-    failure_isolation, account_ids, request_scans, image_responses, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
+    failure_isolation, pattern_effort, account_ids, request_scans, image_responses, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
     pii_by_language_and_source, labels_against_pii, event_windows, event_sessions,
 )}
 
@@ -401,6 +413,10 @@ ORACLES = {
     "address_scores": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey >= 1000000 THEN 90 ELSE 100 END WHEN 1 THEN 30 WHEN 2 THEN 36 ELSE 0 END AS points, c_custkey % 4 = 0 AND c_custkey < 1000000 AS pin, c_custkey % 4 = 1 AS house FROM customer",
     "custom_patterns": "WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[a-z]{18,}')) AS n FROM documents) SELECT doc_id, n, 0.9 AS confidence FROM c WHERE n > 0",
     "failure_isolation": "SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN 'failed' ELSE 'completed' END AS status, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 0 END AS total_detections, CASE c_custkey % 3 WHEN 0 THEN 99.0 WHEN 1 THEN 50.0 ELSE 100.0 END AS privacy_score FROM customer",
+    "pattern_effort": rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN text || ' ' || repeat('ab', 10000) || ' 10.0.0.1' ELSE text END AS text FROM documents),
+        e AS (SELECT doc_id, text, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?i)[a-z]+'), lambda x: pow(length(x), 4))), 0) > 4e8 AS failed FROM d),
+        i AS (SELECT doc_id, len(list_filter(regexp_extract_all({_LETTERS}, '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b'), lambda v: list_bool_and(list_transform(string_split(v, '.'), lambda p: CAST(p AS INT) <= 255 AND (length(p) = 1 OR p[1] <> '0'))))) AS ips FROM d)
+        SELECT doc_id, CASE WHEN failed THEN 'failed' ELSE 'completed' END AS status, CAST(ips + CASE WHEN failed THEN 0 ELSE len(regexp_extract_all(text, '[a-z]+[.]')) END AS INT) AS total_detections FROM e JOIN i USING (doc_id)""",
     "account_ids": rf"""WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'eyJ' || lpad(CAST(c_custkey AS STRING), 12, 'a') || '.' || lpad(CAST(c_custkey AS STRING), 12, 'b') || '.' || lpad(CAST(c_custkey AS STRING), 12, 'c')
             WHEN 1 THEN 'DE' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || {_N16} WHEN 2 THEN 'c' || c_custkey || '@okaxis' WHEN 3 THEN '0x' || lpad(lower(hex(c_custkey)), 40, '0') ELSE '00:1B:44:11:' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || ':3A' END AS v FROM customer),
         s AS (SELECT c_custkey, 'line ' || c_custkey || chr(10) || v || ' seen' AS text FROM t),
