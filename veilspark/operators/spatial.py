@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,23 +120,29 @@ def _across_lines(lines: Column, cfg: ScanConfig, ratio: float, width: Column |
     return F.flatten(F.transform(lines, one))
 
 
+def best_block(rows: Column, i: Column, boxes: Callable[[Column], Column], ratio: float, width: Column | None = None, height: Column | None = None) -> Column:
+    """Of the blocks of up to five lines that begin with line i, which follow each other closely, the surest as an address, then the longest: (sure, n, hit), or null."""
+
+    def linked(k: Column) -> Column:
+        this, last = F.get(rows, k)["box"], F.get(rows, k - 1)["box"]
+        return this["y"] - (last["y"] + last["h"]) <= ADDRESS_GAP * F.greatest(this["h"], F.lit(1.0))
+
+    def block(n: int) -> Column:
+        part = F.slice(rows, i + 1, F.lit(n))
+        whole = (i + n <= F.size(rows)) & (F.forall(F.sequence(i + 1, i + n - 1), linked) if n > 1 else F.lit(True))
+        m = address_match(F.array_join(F.transform(part, lambda x: x["text"]), "\n"), F.lit(n > 1))
+        return let(m, lambda a: F.when(whole & a.isNotNull(), F.struct(a["confidence"].alias("sure"), F.lit(n).alias("n"), _located(a, F.flatten(F.transform(part, boxes)), ratio, width, height).alias("hit"))))
+
+    return F.array_max(F.array_compact(F.array(*[block(n) for n in range(1, ADDRESS_LINES + 1)])))
+
+
 def _addresses(lines: Column, ratio: float, width: Column | None, height: Column | None) -> Column:
     """Address blocks of up to five lines: from each line that gives a cue, the surest block, then the longest; no line twice."""
     top = lambda x: F.array_min(F.transform(x["toks"], lambda t: t["y"]))
     ordered = F.transform(F.sort_array(F.transform(lines, lambda x, i: F.struct(top(x).alias("y"), i.alias("i"), x.alias("line")))), lambda s: s["line"])
 
     def over(rows: Column) -> Column:
-        def linked(k: Column) -> Column:
-            this, last = F.get(rows, k)["box"], F.get(rows, k - 1)["box"]
-            return this["y"] - (last["y"] + last["h"]) <= ADDRESS_GAP * F.greatest(this["h"], F.lit(1.0))
-
-        def block(i: Column, n: int) -> Column:
-            part = F.slice(rows, i + 1, F.lit(n))
-            whole = (i + n <= F.size(rows)) & (F.forall(F.sequence(i + 1, i + n - 1), linked) if n > 1 else F.lit(True))
-            m = address_match(F.array_join(F.transform(part, lambda x: x["text"]), "\n"), F.lit(n > 1))
-            return let(m, lambda a: F.when(whole & a.isNotNull(), F.struct(a["confidence"].alias("sure"), F.lit(n).alias("n"), _located(a, F.flatten(F.transform(part, lambda x: x["toks"])), ratio, width, height).alias("hit"))))
-
-        best = F.transform(rows, lambda x, i: F.when(address_cue(x["text"]), F.array_max(F.array_compact(F.array(*[block(i, n) for n in range(1, ADDRESS_LINES + 1)])))))
+        best = F.transform(rows, lambda x, i: F.when(address_cue(x["text"]), best_block(rows, i, lambda x: x["toks"], ratio, width, height)))
 
         def take(s: Column, x: Column) -> Column:
             use = (s["at"] >= s["free"]) & x.isNotNull()
