@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.geometry import box, overlap_area, pad_box
+from ..functions.masks import mask_value
 from ..functions.text import bound_sql, running_sql
 from .detect import detect
 from .scoring import address_cue
@@ -38,35 +39,35 @@ def _box(of: str = "") -> Column:
 
 
 def _printed_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, line, row (its number with empty lines), at (its offset), said (as it stands) of each line with a token."""
+    """keys, line, _row (its number with empty lines), _at (its offset), said (as it stands) of each line with a token."""
     starts = running_sql("items", "0", "{a} + length(x) + 1")
     rows = f"filter(transform(zip_with(ls, {starts.replace('items', 'ls', 1)}, (l, s) -> named_struct('at', s, 'said', l)), (z, i) -> named_struct('row', i, 'at', z.at, 'said', z.said)), z -> z.said RLIKE '[^ ]')"
     split = bound_sql(f"split(coalesce({text}, ''), '\n', -1)", "ls", rows)
     found = df.select(*keys, F.posexplode(F.expr(split)).alias("line", "l"))
-    return found.select(*keys, "line", "l.row", "l.at", "l.said")
+    return found.select(*keys, "line", F.col("l.row").alias("_row"), F.col("l.at").alias("_at"), "l.said")
 
 
 def tokens_of_text(df: DataFrame, keys: list[str], text: str = "text", advance: float = 10.0, line_height: float = 24.0, height: float = 20.0) -> DataFrame:
     """The tokens of a text as if it were printed in a fixed pitch, one line per line of text. No shuffle; a null text has none."""
     starts = running_sql("items", "0", "{a} + length(x) + 1")
     words = bound_sql("split(said, ' ', -1)", "ws", f"filter(zip_with(ws, {starts.replace('items', 'ws', 1)}, (w, s) -> named_struct('text', w, 'at', s)), z -> z.text <> '')")
-    found = _printed_lines(df, keys, text).select(*keys, "line", "row", "at", F.posexplode(F.expr(words)).alias("place", "t"))
-    start = F.col("at") + F.col("t.at")
+    found = _printed_lines(df, keys, text).select(*keys, "line", "_row", "_at", F.posexplode(F.expr(words)).alias("place", "t"))
+    start = F.col("_at") + F.col("t.at")
     size = F.length("t.text")
     return found.select(
         *keys, "line", "place", F.col("t.text").alias("text"), start.alias("start"), (start + size).alias("end"),
-        (F.col("t.at") * F.lit(advance)).alias("x"), (F.col("row") * F.lit(line_height)).alias("y"), (size * F.lit(advance)).alias("w"), F.lit(height).alias("h"),
+        (F.col("t.at") * F.lit(advance)).alias("x"), (F.col("_row") * F.lit(line_height)).alias("y"), (size * F.lit(advance)).alias("w"), F.lit(height).alias("h"),
     )
 
 
 def lines_of_text(df: DataFrame, keys: list[str], text: str = "text", advance: float = 10.0, line_height: float = 24.0, height: float = 20.0) -> DataFrame:
-    """The lines of ``tokens_of_text`` with their text, words joined by one space, and the box around them. No shuffle."""
+    """The lines of ``tokens_of_text`` with their text, words joined by one space, the box around them, and ``said``, the line as it stands. No shuffle."""
     found = _printed_lines(df, keys, text)
     bare = F.rtrim("said")
     left = F.length("said") - F.length(F.ltrim("said"))
     return found.select(
         *keys, "line", F.regexp_replace(F.trim("said"), " +", " ").alias("text"),
-        (left * F.lit(advance)).alias("x"), (F.col("row") * F.lit(line_height)).alias("y"), ((F.length(bare) - left) * F.lit(advance)).alias("w"), F.lit(height).alias("h"),
+        (left * F.lit(advance)).alias("x"), (F.col("_row") * F.lit(line_height)).alias("y"), ((F.length(bare) - left) * F.lit(advance)).alias("w"), F.lit(height).alias("h"), "said",
     )
 
 
@@ -143,7 +144,7 @@ def wrapped_numbers(lines: DataFrame, keys: list[str], cfg: ScanConfig | None =
     numbers across lines and its labels, over rows. Its box is that of the frame in which it was found."""
     cfg = cfg or ScanConfig()
     labelled = label_prefixes(digit_runs(lines, keys), lines, keys)
-    probe = F.concat(F.when(F.col("prefix") == "", F.lit("")).otherwise(F.concat("prefix", F.lit(" \n "))), F.array_join(F.transform("frame", lambda x: x["text"]), " "))
+    probe = F.concat(_with_prefix(F.col("prefix")), F.array_join(F.transform("frame", lambda x: x["text"]), " "))
     good = lambda m: m["type"].isin("CREDIT_CARD", "DEBIT_CARD", "AADHAAR") & F.coalesce(m["passed"], F.lit(False)) & (F.length(F.regexp_replace(m["value"], "[^0-9]", "")) >= 12)
     found = F.filter(detect(probe, ScanConfig(cfg.enabled, (), cfg.redact_from, cfg.verhoeff_table), kept_only=False), good)
     edge = lambda pick, side: pick(F.transform("frame", lambda x: side(x["box"])))
@@ -153,9 +154,58 @@ def wrapped_numbers(lines: DataFrame, keys: list[str], cfg: ScanConfig | None =
     return labelled.select(*keys, "line", F.explode(F.transform(found, one)).alias("d"))
 
 
+def _with_prefix(prefix: Column) -> Column:
+    return F.when(prefix == "", F.lit("")).otherwise(F.concat(prefix, F.lit(" \n ")))
+
+
+def found_in_lines(lines: DataFrame, keys: list[str], cfg: ScanConfig | None = None, ratio: float = 0.12, advance: float = 10.0) -> DataFrame:
+    """Detections of single lines, addresses aside, each read with its labels before it: keys, line and ``d``. A detection's box is that of the words of its line that it touches."""
+    labelled = label_prefixes(lines, lines, keys).withColumn("_before", _with_prefix(F.col("prefix"))).withColumn("_from", F.length("_before"))
+    own = F.filter(detect(F.concat("_before", "text"), cfg or ScanConfig(), kept_only=False), lambda m: (m["end"] > F.col("_from")) & (m["type"] != "ADDRESS"))
+    found = labelled.select(*keys, "line", "said", "y", "h", "_from", F.explode(own).alias("m"))
+    # The words of the line as it stands, with their offsets there and in the line joined by single spaces.
+    starts, joined = (running_sql(x, "0", "{a} + length(" + f + ") + 1") for x, f in (("ws", "x"), ("kept", "x.w")))
+    words = bound_sql("split(said, ' ', -1)", "ws", bound_sql(f"filter(zip_with(ws, {starts}, (w, s) -> named_struct('w', w, 's', s)), z -> z.w <> '')", "kept", f"zip_with(kept, {joined}, (z, j) -> named_struct('w', z.w, 's', z.s, 'j', j))"))
+    touched = f"filter({words}, t -> m.end > t.j + _from AND m.start < t.j + _from + length(t.w))"
+    placed = found.withColumn("_t", F.expr(touched)).where(F.size("_t") > 0)
+    x = F.get("_t", F.lit(0))["s"] * F.lit(advance)
+    last = F.element_at("_t", -1)
+    around = pad_box(box(x, F.col("y"), (last["s"] + F.length(last["w"])) * F.lit(advance) - x, F.col("h")), ratio)
+    m = F.col("m")
+    return placed.select(*keys, "line", F.struct(m["type"].alias("type"), m["severity"].alias("severity"), m["confidence"].alias("confidence"), m["value"].alias("value"), around.alias("box")).cast(LOCATED).alias("d"))
+
+
+def token_detections(df: DataFrame, keys: list[str], cfg: ScanConfig | None = None, text: str = "text") -> DataFrame:
+    """Masked detections of texts as printed pages, with boxes to two places, over rows: columns as in ``spatial.token_detections``.
+
+    In lines with their labels, in numbers over lines, and in address blocks; those of one type in one place are one, and what is below the
+    threshold is left out.
+    """
+    cfg = cfg or ScanConfig()
+    lines = lines_of_text(df, keys, text)
+    parts = [found_in_lines(lines, keys, cfg).withColumn("part", F.lit(0)), wrapped_numbers(lines, keys, cfg).withColumn("part", F.lit(1))]
+    if cfg.wants("ADDRESS"):
+        parts.append(address_blocks(lines, keys).drop("n").withColumn("part", F.lit(2)))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    sure = F.round(F.col("d.confidence") * 100, 6) >= cfg.redact_from
+    return distinct_places(found.where(sure), keys).select(
+        *keys,
+        F.col("d.type").alias("type"),
+        mask_value(F.col("d.type"), F.col("d.value")).alias("text"),
+        F.col("d.confidence").alias("confidence"),
+        F.col("d.severity").alias("severity"),
+        F.array(*[F.bround(F.col(f"d.box.{n}"), 2) for n in _BOX]).alias("bbox"),
+        F.lit("protected").alias("status"),
+        F.lit(True).alias("verification_passed"),
+        F.lit(1).alias("attempts"),
+    )
+
+
 def distinct_places(found: DataFrame, keys: list[str]) -> DataFrame:
     """Of the detections ``d`` of a document that are of one type in about the same place the surest, then the first by line: keys, ``d``."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("line", "d"))), lambda s: s["d"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(*[c for c in ("part", "line") if c in found.columns], "d"))), lambda s: s["d"])
     return found.groupBy(*keys).agg(dedupe(listed).alias("_d")).select(*keys, F.explode("_d").alias("d"))
 
 

@@ -51,18 +51,32 @@ def _passed(luhn: str, verhoeff: str) -> str:
     return _case({_ORD["CREDIT_CARD"]: f"length(digits) >= 12 AND {luhn}", _ORD["AADHAAR"]: verhoeff, _ORD["IP_ADDRESS"]: octets}, "NULL")
 
 
-def _address() -> str:
+def address_flags(source: str) -> str:
+    """The rows of ``source`` with what their text says of an address: a flag for each kind of cue, postal, pin, house."""
     words = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
-    cues = ", ".join(f"{_any('n', terms)} AS {name}_" for name, (_, _, terms) in ADDRESS_CUES.items())
+    cues = ", ".join(f"{_any('n_', terms)} AS {name}_" for name, (_, _, terms) in ADDRESS_CUES.items())
     pin = r"""len(list_filter(regexp_extract_all(text, '\d[\d ]*\d'), lambda r: length(replace(r, ' ', '')) >= 10 OR (length(replace(r, ' ', '')) >= 7 AND NOT contains(r, ' ')))) = 0
         AND (regexp_matches(text, '(?:^|\D)\d{3}\s?\d{3}(?:\D|$)') OR regexp_matches(text, '(?:^|\D)\d{5,6}(?:\D|$)'))"""
     house = r"regexp_matches(text, '(?i)(?:^|[\n\r\x0b\f])\s*(?:flat|plot|door|house|no\.?|#)?\s*#?\d{1,4}[a-z]?\s*[,/\-]')"
+    return f"SELECT *, {cues}, {_any('n_', ADDRESS_POSTAL)} AS postal_, {pin} AS pin_, {house} AS house_ FROM (SELECT *, {words} AS n_ FROM {source})"
+
+
+#: Whether a text says anything of an address, over the flags.
+ADDRESS_CUE = "(" + " OR ".join([*(f"{name}_" for name in ADDRESS_CUES), "postal_", "pin_", "house_"]) + ")"
+
+
+def address_points(many_lines: str = "false") -> str:
+    """The points of a text as an address, over the flags."""
     points = " + ".join(f"CASE WHEN {name}_ THEN {p} ELSE 0 END" for name, (p, _, _) in ADDRESS_CUES.items())
-    points += f" + CASE WHEN pin THEN {ADDRESS_POINTS['pincode']} WHEN postal THEN {ADDRESS_POINTS['postal']} ELSE 0 END + CASE WHEN house THEN {ADDRESS_POINTS['house']} ELSE 0 END"
-    count = " + ".join(f"CAST({c} AS INT)" for c in (*[f"{name}_" for name in ADDRESS_CUES], "(pin OR postal)"))
+    points += f" + CASE WHEN pin_ THEN {ADDRESS_POINTS['pincode']} WHEN postal_ THEN {ADDRESS_POINTS['postal']} ELSE 0 END + CASE WHEN house_ THEN {ADDRESS_POINTS['house']} ELSE 0 END"
+    points += f" + CASE WHEN {many_lines} THEN {ADDRESS_POINTS['lines']} ELSE 0 END"
+    count = " + ".join(f"CAST({c} AS INT)" for c in (*[f"{name}_" for name in ADDRESS_CUES], "(pin_ OR postal_)"))
+    return f"least(100, CASE WHEN {count} >= 2 THEN {points} ELSE least({points}, 30) END)"
+
+
+def _address() -> str:
     return f"""SELECT rid, {_ADDRESS} AS ord, 0 AS start, length(text) AS stop, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value, round(least(0.99, points / 100.0), 4) AS confidence FROM (
-        SELECT rid, text, least(100, CASE WHEN {count} >= 2 THEN {points} ELSE least({points}, 30) END) AS points FROM (
-        SELECT rid, text, {cues}, {_any('n', ADDRESS_POSTAL)} AS postal, {pin} AS pin, {house} AS house FROM (SELECT rid, text, {words} AS n FROM docs))) WHERE points >= 45"""
+        SELECT *, {address_points()} AS points FROM ({address_flags("docs")})) WHERE points >= 45"""
 
 
 def mask(kind: str, value: str) -> str:

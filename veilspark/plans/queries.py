@@ -17,6 +17,7 @@ from ..operators.detect import detect
 from ..sources.tables import merge_tokens, ocr_tokens, table
 from ..streaming.scan import sessions, windowed_counts
 from . import detection_sql as full
+from . import token_queries
 
 _LETTERS = r"regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 
@@ -83,11 +84,6 @@ def redacted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scan.redact_text(F.coalesce("text", F.lit("")), ScanConfig.of(["EMAIL", "CREDIT_CARD", "PHONE", "IP_ADDRESS"])).alias("text"))
 
 
-def token_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "benchmark").select("item_id", spatial.tokens_from_text(F.col("text")).alias("tokens"))
-    return spatial.token_detections(tokens, ["item_id"])
-
-
 def card_luhn_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(table(spark, sf_dir, "documents"), ["source"], "CREDIT_CARD").where(validators.luhn(F.col("value"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -306,7 +302,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, token_detections, card_luhn_by_source, ip_valid_by_source,
+    scan_documents, scan_pages, scan_conversations, document_summaries, report_documents, report_totals, redacted_conversations, card_luhn_by_source, ip_valid_by_source,
     email_documents, swift_hits, aadhaar_verhoeff, aadhaar_confidence, card_confidence, phone_confidence, context_points, label_anchored, secrets, national_ids, address_scores, custom_patterns,
     failure_isolation, pattern_effort, account_ids, request_scans, image_responses, located_cards, enabled_isolation, overlap_resolve, type_normalize, mask_values, mask_logs, privacy_scores, box_geometry, protection_plan, verify_regions, ocr_token_filter, token_lines,
     pii_by_language_and_source, labels_against_pii, event_windows, event_sessions,
@@ -478,3 +474,6 @@ ORACLES |= {
     "client_messages": _client_sql(ORACLES["scan_messages"], tuple(client.CLIENT_TYPES)),
     "client_boxes": _client_sql(ORACLES["located_cards"], client.ENABLED),
 }
+
+QUERIES |= token_queries.QUERIES
+ORACLES |= token_queries.oracles(_sql_luhn("digits"), f"length(digits) = 12 AND {_sql_verhoeff('digits')}", _LETTERS)
