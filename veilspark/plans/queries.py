@@ -17,7 +17,7 @@ from ..operators.detect import detect
 from ..sources.tables import merge_tokens, ocr_tokens, table
 from ..streaming.scan import sessions, windowed_counts
 from . import detection_sql as full
-from . import token_queries
+from . import extension_queries, token_queries
 
 _LETTERS = r"regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 
@@ -477,3 +477,6 @@ ORACLES |= {
 
 QUERIES |= token_queries.QUERIES
 ORACLES |= token_queries.oracles(_sql_luhn("digits"), f"length(digits) = 12 AND {_sql_verhoeff('digits')}", _LETTERS)
+QUERIES |= extension_queries.QUERIES
+_RATED = _scan_sql("documents", ["doc_id", "source", "lang"], kinds=["EMAIL", "IP_ADDRESS", "SWIFT_BIC", "CREDIT_CARD"])
+ORACLES |= extension_queries.oracles(_RATED, full.summaries_sql(_RATED, ["doc_id", "source", "lang"]))
