@@ -162,7 +162,7 @@ def test_join_counted(spark):
 
 
 def test_components_around_a_hub(spark):
-    """A hub with most of the edges, chains of it and pairs apart: hubs are joined by broadcast, the rest by a shuffle."""
+    """A hub with most of the edges, chains of it and pairs apart: hubs are joined by a shuffle as the rest is."""
     edges = [(5000, i) for i in range(5001, 8000)] + [(i, i + 20000) for i in range(5001, 5040)] + [(40000 + 2 * i, 40001 + 2 * i) for i in range(1500)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: 5000 if x < 40000 else x - x % 2 for e in edges for x in e}

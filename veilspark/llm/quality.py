@@ -137,13 +137,19 @@ def calibrate(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Features and verdict of every document: the columns in ``keep``, the base features and ``kept``.
 
-    docs needs doc_id, text and lang; its language is the stratum (null is a stratum of its own). Strata with too few good
-    labels to certify anything have no learned rule, so there the base rule alone decides; the same holds without labels.
+    docs needs doc_id, text and lang; its language is the stratum (null is a stratum of its own, apart from the empty string). Strata with
+    too few good labels to certify anything have no learned rule, so there the base rule alone decides; the same holds without labels.
+    Null, empty and short texts fail the base rule; texts are read whole; repeated rows have one verdict and each count in a holdout if
+    their id is labelled; an empty table gives no rows. Columns in ``keep`` may have any name; the others are ignored.
     """
-    cut = docs.select(*[F.col(c) for c in keep], F.col("doc_id").cast("long").alias("_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"))
-    found = durable(features(cut, (*keep, "_id", "stratum")))
-    rules = durable(calibrate(found.drop(*keep).withColumnRenamed("_id", "doc_id"), labels, alpha, delta))
+    # Columns to keep travel under numbers, so that no name of theirs meets one of ours.
+    own = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("stratum")
+    kept = [f"_k{i}" for i in range(len(keep))]
+    cut = docs.select(*own, F.col("doc_id").cast("long").alias("_id"), "text", stratum)
+    found = durable(features(cut, (*kept, "_id", "stratum")))
+    rules = durable(calibrate(found.drop(*kept).withColumnRenamed("_id", "doc_id"), labels, alpha, delta))
     bad = reduce(lambda a, b: a | b, [F.coalesce(F.expr(e) >= F.col(f"_r.{s}"), F.lit(False)) for s, e in SIGNALS.items()])
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = found.join(maybe_broadcast(rules.withColumnRenamed("stratum", "_s")).alias("_r"), F.col("stratum") == F.col("_r._s"), "left")
-    return judged.select(*keep, *base, F.when(F.col("base_failed"), False).otherwise(~bad).alias("kept"))
+    return judged.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], *base, F.when(F.col("base_failed"), False).otherwise(~bad).alias("kept"))
