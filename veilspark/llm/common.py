@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -27,7 +29,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor costs no recomputation of what lies before."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    _let_go(df.sparkSession)
+    return done
+
+
+_last_let_go = 0.0
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Free the shuffles, and where the session says so the checkpoints, to which nothing refers any more.
+
+    Spark frees them when the driver collects its garbage. A loop whose work is on executors makes little of that, so the files of
+    all its rounds would stay; asking for it now and then keeps those of the last few.
+    """
+    global _last_let_go
+    if time.monotonic() - _last_let_go > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last_let_go = time.monotonic()
 
 
 def stored(df: DataFrame) -> DataFrame:
