@@ -380,7 +380,8 @@ def test_language(spark):
 
 def test_language_filter_returns_all_languages():
     gram = np.arange(1000, dtype=np.int64)
-    model = language_id.LanguageFilter(["a", "b"], 0, np.r_[np.zeros(1000, int), np.ones(500, int)], np.r_[gram, gram[:500]])
+    model = language_id.LanguageFilter(["a", "b"], 0, 1000)
+    model.add(np.r_[np.zeros(1000, int), np.ones(500, int)], np.r_[gram, gram[:500]])
     masks = model.masks(gram)[:, 0]
     assert (masks[:500] == 3).all() and (masks[500:] & 1 == 1).all() and (masks[500:] & 2 > 0).mean() < 0.01
 
@@ -398,40 +399,49 @@ def test_language_filter_holds_flat_scripts(spark):
     assert langs == ["a", "b", "c", "c"] and (scores > 0.9).all() and (model.false_rate < 0.05).all()
 
 
-def test_language_profiles_and_counts(spark):
-    """Profiles and decisions against plain sets: the filter only adds false positives, which are few."""
+def test_language_filter_and_decisions_against_plain_sets(spark):
+    """Each language's slices hold all its grams and its typical ones; the filter only adds false positives, which are few."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 < 3")
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").collect()
     count = defaultdict(Counter)
     for r in rows:
         count[r.lang].update(language_id.grams([r.text.replace("\n", " ")])[1].tolist())
-    profile = {}
+    bound = {}
     for lang, c in count.items():
-        least, left = 0, language_id.TAIL * sum(c.values())
+        left = language_id.TAIL * sum(c.values())
         for n, mass in sorted(Counter({n: n * k for n, k in Counter(c.values()).items()}).items()):
-            least, left = n, left - mass
+            bound[lang], left = n, left - mass
             if left < 0:
                 break
-        profile[lang] = {g for g, n in c.items() if n >= least}
-    counts = language_id.count_grams(docs)
-    got = defaultdict(set)
-    for r in language_id.profiles(counts).collect():
-        got[r.lang].add(r.gram)
-    assert got == profile
+    assert language_id.typical(language_id.count_grams(docs)) == bound
     model = language_id.train(docs)
-    known = set().union(*profile.values())
+    sets = [set(count[lang]) for lang in model.langs] + [{g for g, n in count[lang].items() if n >= bound[lang]} for lang in model.langs]
+    known = set().union(*sets)
     probes = np.fromiter(known | {g + 7 for g in known}, np.int64)
     masks = model.masks(probes)[:, 0]
-    for i, lang in enumerate(model.langs):
-        hit, member = (masks >> i) & 1 > 0, np.isin(probes, np.fromiter(profile[lang], np.int64))
+    for i, held in enumerate(sets):
+        hit, member = (masks >> i) & 1 > 0, np.isin(probes, np.fromiter(held, np.int64))
         assert hit[member].all() and hit[~member].mean() < 0.01
-    texts = [r.text for r in rows[:200]]
+    texts, k = [r.text for r in rows[:200]], len(model.langs)
     for text, lang in zip(texts, model.decide([t.replace("\n", " ") for t in texts])[0], strict=True):
         grams = language_id.grams([text.replace("\n", " ")])[1].tolist()
-        share = {k: sum(g in profile[k] for g in grams) / max(1, len(grams)) for k in profile}
+        share = {x: sum((g in sets[i]) + (g in sets[i + k]) for g in grams) / max(1, 2 * len(grams)) for i, x in enumerate(model.langs)}
         assert not grams or share[lang] >= max(share.values()) - 0.01
 
 
+def test_language_filter_within_its_bytes(spark, monkeypatch):
+    """A filter too large to send has fewer positions: every gram stays in it, and counts are corrected for the false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    monkeypatch.setattr(language_id, "FILTER_BYTES", 1 << 14)
+    model = language_id.train(docs)
+    assert model.table.nbytes == 1 << 14 and 0.01 < model.false_rate.max() < 0.9
+    rows = docs.select("text", "lang").collect()
+    gram = language_id.grams([rows[0].text.replace("\n", " ")])[1]
+    assert (model.masks(gram)[:, 0] >> model.langs.index(rows[0].lang) & 1 == 1).all()
+    said = model.decide([r.text.replace("\n", " ") for r in rows])[0]
+    assert sum(x == r.lang for x, r in zip(said, rows, strict=True)) > 0.97 * len(rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div class="logo">Site</div></header><nav><ul><li><a href="/a">Menu</a></ul></nav><div id="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First   para<br>goes&nbsp;on<p><b>Second <i>one</b></i><aside>Related</aside><div class="ad">Buy</div>

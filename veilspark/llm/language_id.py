@@ -1,9 +1,10 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter has one slice per language over the same positions: a probe reads the words at an n-gram's
-positions, ANDs them and so gets all languages that contain the n-gram at once. A language contains the n-grams of its profile, the
-most used ones that make up all but ``TAIL`` of its own uses; what other languages use does not matter. A text's language is the one
-with the most of its n-grams, after each count is corrected by the false-positive rate of that language's slice.
+A bit-sliced Bloom filter has slices over the same positions: a probe reads the words at an n-gram's positions, ANDs them and so gets
+all languages that contain the n-gram at once. Every language has two slices: one for all n-grams it contains, however rare, and one for
+those typical of it, the most used ones that make up all but ``TAIL`` of its own uses; what other languages use does not matter. A
+text's language is the one with the largest part of the text's n-grams, the mean of both slices, after each count is corrected by the
+false-positive rate of its slice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from .common import durable
 
 #: Positions of the filter at least, for each n-gram of the language with most of them, and probes per n-gram.
 POSITIONS, SPACE, PROBES = 1 << 20, 8, 4
-#: The part of a language's uses of n-grams that its profile leaves out: foreign words, names and slips.
+#: Bytes that the filter is broadcast with at most. Beyond, it has fewer positions: no n-gram stays out, false positives grow, and the
+#: counts are corrected for them.
+FILTER_BYTES = 256 << 20
+#: Cells of the filter that one task builds.
+BLOCK = 1 << 16
+#: The part of a language's uses of n-grams that is not typical of it: foreign words, names and slips.
 TAIL = 0.02
 #: Characters that are turned into arrays at once.
 CHUNK = 1 << 20
@@ -91,48 +97,64 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _positions(gram: np.ndarray, positions: int) -> Iterator[np.ndarray]:
+    x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    for i in range(PROBES):
+        yield ((a + np.uint64(i) * b) % np.uint64(positions)).astype(np.int64)
+
+
+def cells(slices: np.ndarray, gram: np.ndarray, positions: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, ``position * words + word``, and the bits in them that each gram sets in its slice."""
+    bits = np.uint64(1) << (slices % 64).astype(np.uint64)
+    return np.concatenate([at * words + slices // 64 for at in _positions(gram, positions)]), np.tile(bits, PROBES)
+
+
 class LanguageFilter:
-    """The bit-sliced filter: ``table[position, word]`` has bit l of word w set when language 64 w + l has a gram there.
+    """The bit-sliced filter: ``table[position, word]`` has bit s of word w set when slice 64 w + s has a gram there.
 
-    It is sized for ``most`` grams of one language, so that no gram has to stay out; words are as wide as the languages need.
+    Slice l tells what language l contains, slice ``len(langs) + l`` what is typical of it. The filter is sized for ``most`` grams of one
+    language, within ``FILTER_BYTES``; words are as wide as the slices need.
     """
 
-    def __init__(self, langs: list[str], usual: int, lang_of: np.ndarray | None = None, gram: np.ndarray | None = None, most: int = 0):
+    def __init__(self, langs: list[str], usual: int, most: int):
         self.langs, self.usual = langs, usual
-        if lang_of is not None and len(lang_of):
-            most = max(most, int(np.bincount(lang_of).max()))
-        width = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= t(0).itemsize * 8), np.uint64)
-        self.table = np.zeros((max(POSITIONS, 1 << (SPACE * most - 1).bit_length()), max(1, -(-len(langs) // 64))), width)
-        if lang_of is not None:
-            self.add(lang_of, gram)
-
-    def add(self, lang_of: np.ndarray, gram: np.ndarray) -> None:
-        bits = (np.uint64(1) << (lang_of % 64).astype(np.uint64)).astype(self.table.dtype)
-        for at in self._positions(gram):
-            np.bitwise_or.at(self.table, (at, lang_of // 64), bits)
+        width = next((t for t in (np.uint8, np.uint16, np.uint32) if 2 * len(langs) <= t(0).itemsize * 8), np.uint64)
+        words = -(-2 * len(langs) // 64)
+        positions = max(POSITIONS, 1 << (SPACE * most - 1).bit_length())
+        while positions > 1 and positions * words * width(0).itemsize > FILTER_BYTES:
+            positions //= 2
+        self.table = np.zeros((positions, words), width)
+
+    def fill(self, first: int, block: bytes) -> None:
+        """Put a built block of cells in its place."""
+        part = np.frombuffer(block, self.table.dtype)
+        self.table.reshape(-1)[first : first + len(part)] = part
+        self.__dict__.pop("false_rate", None)
+
+    def add(self, slices: np.ndarray, gram: np.ndarray) -> None:
+        at, bits = cells(slices, gram, *self.table.shape)
+        np.bitwise_or.at(self.table.reshape(-1), at, bits.astype(self.table.dtype))
         self.__dict__.pop("false_rate", None)
 
     @functools.cached_property
     def false_rate(self) -> np.ndarray:
-        return np.array([np.count_nonzero(self.table[:, i // 64] & self.table.dtype.type(1 << i % 64)) / len(self.table) for i in range(len(self.langs))]) ** PROBES
-
-    def _positions(self, gram: np.ndarray) -> Iterator[np.ndarray]:
-        x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((a + np.uint64(i) * b) % np.uint64(len(self.table))).astype(np.int64)
+        """The part of foreign grams that each slice says it has."""
+        return np.array([np.count_nonzero(self.table[:, i // 64] & self.table.dtype.type(1 << i % 64)) / len(self.table) for i in range(2 * len(self.langs))]) ** PROBES
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
-        """The languages containing each gram, as bit masks."""
-        return functools.reduce(np.bitwise_and, (self.table[at] for at in self._positions(gram)))
+        """The slices containing each gram, as bit masks."""
+        return functools.reduce(np.bitwise_and, (self.table[at] for at in _positions(gram, len(self.table))))
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the winner's part of all corrected shares."""
         owner, gram = grams(texts)
         mask, n = self.masks(gram), np.bincount(owner, minlength=len(texts))[: len(texts)]
-        hits = np.stack([np.bincount(owner, weights=(mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), minlength=len(texts))[: len(texts)] for i in range(len(self.langs))], axis=1)
-        share = np.clip((hits / np.maximum(n, 1)[:, None] - self.false_rate) / (1 - self.false_rate), 0, 1)
+        bit = lambda i: (mask[:, i // 64] >> self.table.dtype.type(i % 64)) & self.table.dtype.type(1)
+        hits = np.stack([np.bincount(owner, weights=bit(i), minlength=len(texts))[: len(texts)] for i in range(2 * len(self.langs))], axis=1)
+        shares = np.clip((hits / np.maximum(n, 1)[:, None] - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
+        share = (shares[:, : len(self.langs)] + shares[:, len(self.langs) :]) / 2
         total = share.sum(axis=1)
         best = np.where(total > 0, share.argmax(axis=1), self.usual)
         score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1e-300), 0.0)
@@ -144,37 +166,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def profiles(counts: DataFrame) -> DataFrame:
-    """``lang, gram`` of every language's profile, from ``lang, gram, n``: the grams used at least as often as the rarest that is needed.
+def typical(counts: DataFrame) -> dict[str, int]:
+    """For every language how often a gram is used at least that is typical of it, from ``lang, gram, n``.
 
     The bound is found on how many grams have each count, a small table by language, so no language's grams meet in one task.
-    Grams used equally often are all in or all out.
+    Grams used equally often are all typical or all not.
     """
     masses = counts.groupBy("lang", "n").agg(F.sum("n").alias("mass"))
     rarer = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("lang")
     kept = masses.select("lang", "n", (F.sum("mass").over(rarer) > TAIL * F.sum("mass").over(whole)).alias("kept")).where("kept")
-    return counts.join(kept.groupBy("lang").agg(F.min("n").alias("least")), "lang").where("n >= least").select("lang", "gram")
+    return {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.min("n").alias("n")).collect()}
 
 
 def train(docs: DataFrame) -> LanguageFilter | None:
-    """Learn from every text with a language. The filter holds every gram of every language's profile."""
+    """Learn from every text with a language. The filter holds every gram of every language.
+
+    Tasks set the bits, which are merged by cell and packed into blocks of ``BLOCK`` cells; the driver sees a row by language and the
+    blocks, at most ``FILTER_BYTES`` in all.
+    """
     counts = durable(count_grams(docs))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: (r["n"], r["grams"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).collect()}
     if not totals:
         return None
-    langs = sorted(totals)
-    chosen = durable(profiles(counts))
+    langs, least = sorted(totals), typical(counts)
     number = {lang: i for i, lang in enumerate(langs)}
+    model = LanguageFilter(langs, number[max(langs, key=lambda x: (totals[x][0], x))], max(n for _, n in totals.values()))
+    (positions, words), kind, n_langs = model.table.shape, model.table.dtype, len(langs)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"langs": [pdf["lang"].map(number).to_numpy(np.int32).tobytes()], "grams": [pdf["gram"].to_numpy(np.int64).tobytes()]})
-
-    most = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    model = LanguageFilter(langs, number[max(langs, key=lambda x: (totals[x], x))], most=most)
-    for r in chosen.mapInPandas(pack, "langs binary, grams binary").toLocalIterator():
-        model.add(np.frombuffer(r["langs"], np.int32), np.frombuffer(r["grams"], np.int64))
+            own, gram = pdf["lang"].map(number).to_numpy(np.int64), pdf["gram"].to_numpy(np.int64)
+            usual = pdf["n"].to_numpy() >= pdf["lang"].map(least).to_numpy()
+            at, bits = cells(np.r_[own, own[usual] + n_langs], np.r_[gram, gram[usual]], positions, words)
+            yield pd.DataFrame({"cell": at, "bits": bits.view(np.int64)})
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        first = int(part["block"].iloc[0]) * BLOCK
+        block = np.zeros(min(BLOCK, positions * words - first), kind)
+        block[part["cell"].to_numpy() - first] = part["bits"].to_numpy(np.int64).view(np.uint64).astype(kind)
+        return pd.DataFrame({"first": [first], "cells": [block.tobytes()]})
+
+    marked = counts.mapInPandas(mark, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    blocks = marked.withColumn("block", F.expr(f"cell div {BLOCK}")).groupBy("block").applyInPandas(pack, "first long, cells binary")
+    for r in durable(blocks).toLocalIterator():
+        model.fill(r["first"], r["cells"])
+    model.false_rate  # noqa: B018  # counted once, here, and sent along
     return model
 
 
