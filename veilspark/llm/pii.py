@@ -1,7 +1,9 @@
 """Personal data: fixed base patterns, then bootstrapped contextual extraction. DataFrame expressions only.
 
-Bootstrapping: the base matches are seeds. The words beside a match make lexical patterns of four kinds: the two words on its left, the
-one on its left, the one on its right, and one on each side. Matches and look-alikes that fail the base rules are instances; a
+Bootstrapping: the base matches are seeds. The words beside a match make lexical patterns of seven kinds. Four are exact: the two words
+on its left, the one on its left, the one on its right, and one on each side. Three generalise: the left word without the signs around
+it, the word before that with any one word between, and the label of the field, which is the last word before a colon or equals sign on the
+match's line with at most two words after it. Matches and look-alikes that fail the base rules are instances; a
 pattern and an instance that occur together are an edge of a bipartite graph. Scores travel over it until they rest: a pattern's
 confidence is the smoothed share of its distinct instances that are trusted, an instance's trust is that of its best confident pattern,
 seeds stay at 1. Scores only rise, and are at most 1, so they come to rest. Patterns that end up confident and well supported mark
@@ -79,6 +81,10 @@ def _scan(text: Column, number: int) -> Column:
     return found if needs is None else F.when(F.contains(text, F.lit(needs)), found).otherwise(none)
 
 
+#: Signs that are no part of a word in the patterns that generalise.
+_SIGNS = ".,;:!?=|#*&<>()[]{}\"'`~/\\_-"
+
+
 def _contexts(left: Column, right: Column) -> Column:
     """Hashes of the lexical patterns around a match, of those that hold a letter. Words are in lower case, with digits masked.
 
@@ -86,17 +92,31 @@ def _contexts(left: Column, right: Column) -> Column:
     """
     blank = lambda gap: F.translate(gap, "\t\n\x0b\f\r", "     ")
     word = lambda w: F.translate(F.lower(w), "123456789", "000000000")
+    bare = lambda w: F.btrim(w, F.lit(_SIGNS))
     last = lambda gap: F.substring_index(gap, " ", -1)
     before = lambda gap: F.rtrim(F.left(gap, F.length(gap) - F.length(last(gap))))
+    line = F.translate(F.substring_index(left, "\n", -1), "=\t\x0b\f\r", ":    ")
+
+    def labelled(row: Column) -> Column:
+        """The last word before the line's last colon, empty without one or with more than two words after it."""
+        after = F.substring_index(row, ":", -1)
+        head = F.rtrim(F.left(row, F.length(row) - F.length(after) - 1))
+        near = F.contains(row, F.lit(":")) & ~F.trim(after).rlike("^[^ ]++ ++[^ ]++ ")
+        return F.when(near, word(bare(last(head)))).otherwise("")
 
     def hashed(w: Column) -> Column:
         one, two, after = w["one"], w["two"], w["after"]
-        lists = [F.array(two, one), F.array(one), F.array(after), F.array(one, after)]
+        lists = [F.array(two, one), F.array(one), F.array(after), F.array(one, after), F.array(bare(one)), F.array(bare(two)), F.array(w["label"])]
         every = [F.when(F.forall(x, lambda y: y != "") & F.exists(x, lambda y: y.rlike(r"\p{L}")), F.xxhash64(F.lit(i), x)) for i, x in enumerate(lists)]
         return F.array_compact(F.array(*every))
 
-    cut = lambda gap: F.struct(word(last(gap)).alias("one"), word(last(before(gap))).alias("two"), word(F.substring_index(F.ltrim(blank(right)), " ", 1)).alias("after"))
-    return F.get(F.transform(F.transform(F.array(F.rtrim(blank(left))), cut), hashed), F.lit(0))
+    def cut(w: Column) -> Column:
+        gap = w["gap"]
+        right_word = F.substring_index(F.ltrim(blank(right)), " ", 1)
+        return F.struct(word(last(gap)).alias("one"), word(last(before(gap))).alias("two"), word(right_word).alias("after"), labelled(w["line"]).alias("label"))
+
+    ends = F.array(F.struct(F.rtrim(blank(left)).alias("gap"), line.alias("line")))
+    return F.get(F.transform(F.transform(ends, cut), hashed), F.lit(0))
 
 
 def scanned(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
