@@ -203,46 +203,6 @@ def test_pii_bootstrapping(spark):
     assert sorted((r.doc_id, r.text, r.kept) for r in clean) == [(1, "x [EMAIL] y [IP]", "k"), (2, None, "k")]
 
 
-def test_pii_patterns_that_generalise(spark):
-    """Signs around the left word, one word that varies before the value, and labels of fields; each kind alone reaches its look-alike."""
-    cards = []
-    for i in range(20):
-        stem = f"5{i:014d}"
-        cards.append(next(stem + c for c in "0123456789" if brute.luhn(stem + c)))
-    wrong = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards[:2]]
-    signs = [":", " -", "=", " (", ",", " [", ";", "."]
-    forms = {
-        "signs": ([f"q{chr(97 + i)} card{signs[i % 8] if signs[i % 8][0] != ' ' else ''} {c} z{chr(97 + i)}" for i, c in enumerate(cards)], f"new \"card\" {wrong[0]} end"),
-        "gap": ([f"charged k{chr(97 + i)}x {c} u{chr(97 + i)}" for i, c in enumerate(cards)], f"was charged otherwise {wrong[0]} end"),
-        "label": ([f"a{chr(97 + i)}\nPayment: p{chr(97 + i)} r{chr(97 + i)} {c} v{chr(97 + i)}" for i, c in enumerate(cards)], f"see\n(payment) = some number {wrong[0]} end"),
-    }
-    for name, (seen, unseen) in forms.items():
-        rows = [*enumerate(seen), (100, unseen), (101, f"ticket reference {wrong[1]} open"), (102, f"payment: one two three {wrong[1]}" if name == "label" else "")]
-        spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        at = unseen.index(wrong[0])
-        assert (spans[100], spans[101], spans[102]) == (f"card:{at}:{at + 16}", "", ""), name
-
-
-def plain_contexts(left, right):
-    """How many patterns a match has, by plain string operations."""
-    word, letter = (lambda w: w.lower()), (lambda w: any(c.isalpha() for c in w))
-    words, bare = left.split(), (lambda w: w.strip(pii._SIGNS))
-    one, two, after = (words or [""])[-1], words[-2] if len(words) > 1 else "", (right.split() or [""])[0]
-    line = left.split("\n")[-1].replace("=", ":")
-    head, sign, tail = line.rpartition(":")
-    label = bare((head.split() or [""])[-1]) if sign and len(tail.split()) <= 2 else ""
-    kinds = [(two, one), (one,), (after,), (one, after), (bare(one),), (bare(two),), (label,)]
-    return [i for i, x in enumerate(kinds) if all(map(word, x)) and any(map(letter, x))]
-
-
-def test_pii_contexts_against_plain_words(spark):
-    sides = ["", "a", "to my card:", "x =", "no: one two", "no: one two three", "id=\n7", "| k |", "(tel.)", "l1: a\nb c ", "é:ü 1", ":", "a : : b"]
-    rows = [(f"{left} ", f" {right}") for left in sides for right in ("", "z y", "| w", "...")]
-    df = spark.createDataFrame(rows, "left string, right string")
-    got = {(r.left, r.right): r.n for r in df.select("left", "right", F.size(pii._contexts(F.col("left"), F.col("right"))).alias("n")).collect()}
-    assert got == {x: len(plain_contexts(*x)) for x in rows}
-
-
 def test_pii_graph_scores(spark):
     """Trusted patterns against a plain version of the graph, where trust takes more than one round to spread."""
     rng = np.random.default_rng(3)
