@@ -80,11 +80,13 @@ def has_pincode(block: Column) -> Column:
     runs = F.regexp_extract_all(block, F.lit(r"(?U)\d[\d ]*\d"), F.lit(0))
     size = lambda r: F.length(F.regexp_replace(r, " ", ""))
     long = F.exists(runs, lambda r: ((size(r) >= 7) & ~F.contains(r, F.lit(" "))) | (size(r) >= 10))
+    # fixed values: the forms of a postal code
     return ~long & (block.rlike(r"(?U)(?<!\d)\d{3}\s?\d{3}(?!\d)") | block.rlike(r"(?U)(?<!\d)\d{5,6}(?!\d)"))
 
 
 def has_house_number(block: Column) -> Column:
     """A line that begins with a house or plot number."""
+    # fixed values: the form of a house number
     return block.rlike(r"(?iU)(?<![^\n\r\x0b\f])\s*(?:flat|plot|door|house|no\.?|#)?\s*#?\d{1,4}[a-z]?\s*[,/\-]")
 
 
