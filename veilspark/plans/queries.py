@@ -17,7 +17,7 @@ from ..operators.detect import detect
 from ..sources.tables import merge_tokens, ocr_tokens, table
 from ..streaming.scan import sessions, windowed_counts
 from . import detection_sql as full
-from . import extension_queries, token_queries
+from . import extension_queries, image_queries, token_queries
 
 _LETTERS = r"regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 
@@ -350,7 +350,10 @@ def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.client_types(spark)
+    """The client's types, and how many detections of each the messages hold and in how many messages; also those without any."""
+    shown = client_messages(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("messages"))
+    counted = client.client_types(spark).join(F.broadcast(shown), "type", "left")
+    return counted.select("type", "label", "severity", "enabled", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n", "messages")])
 
 
 def client_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,11 +473,15 @@ def _client_sql(found: str, kinds: tuple[str, ...]) -> str:
 
 
 ORACLES |= {
-    "client_types": f"SELECT * FROM (VALUES {_CLIENT_ROWS}) AS t(type, label, severity, enabled)",
     "client_messages": _client_sql(ORACLES["scan_messages"], tuple(client.CLIENT_TYPES)),
     "client_boxes": _client_sql(ORACLES["located_cards"], client.ENABLED),
 }
 
+ORACLES["client_types"] = f"""SELECT t.type, label, severity, enabled, coalesce(n, 0) AS n, coalesce(messages, 0) AS messages FROM (VALUES {_CLIENT_ROWS}) AS t(type, label, severity, enabled)
+    LEFT JOIN (SELECT type, count(*) AS n, count(DISTINCT c_custkey) AS messages FROM ({ORACLES["client_messages"]}) GROUP BY type) m ON m.type = t.type"""
+
+QUERIES |= image_queries.QUERIES
+ORACLES |= image_queries.ORACLES
 QUERIES |= token_queries.QUERIES
 ORACLES |= token_queries.oracles(_sql_luhn("digits"), f"length(digits) = 12 AND {_sql_verhoeff('digits')}", _LETTERS)
 QUERIES |= extension_queries.QUERIES
