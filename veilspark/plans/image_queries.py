@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanConfig
-from ..operators import images, spatial
-from ..sources.tables import table
+from ..operators import images, scan, spatial
+from ..sources.tables import read_images, table
 
 #: Pixels of the region in a row, pixels on each side of it that must stay, and their grey.
 _WIDE, _MARGIN, _GREY = 12, 2, 200
@@ -92,5 +92,45 @@ def _attempts_sql() -> str:
         FROM ended JOIN c USING (c_custkey) GROUP BY ALL"""
 
 
-QUERIES = {"image_attempts": image_attempts}
-ORACLES = {"image_attempts": _attempts_sql()}
+#: What stands in the image of a customer and how well each pass reads it (0: it fails); a credential is kept however badly it is read.
+_WORD = "CASE WHEN c_custkey % 7 = 2 THEN concat('ghp_', lpad(CAST(c_custkey AS STRING), 36, 'a')) ELSE concat('u', CAST(c_custkey AS STRING), '@shop.example') END"
+_SURE = ((90, 90), (25, 25), (5, 5), (10, 10), (90, 0), (0, 90))
+
+
+def _read_word(image: np.ndarray, scale: float) -> list[dict]:
+    """The characters in the first row of an image, read as well as its second row says for each pass."""
+    sure = int(image[1, int(scale) - 1, 0])
+    if not sure:
+        raise ValueError("cannot be read")
+    word = bytes(c for c in image[0, :, 0].tolist() if c).decode("ascii")
+    return [{"text": word, "conf": sure} | {n: v * scale for n, v in zip(("left", "top", "width", "height"), (8.0, 4.0, 40.0, 10.0), strict=True)}]
+
+
+def ocr_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with an image that a reader reads in two passes, or fails to, or with a text alone, from pixels to the answer."""
+    pixel = lambda at: f"concat({at}, '0000')"
+    k = F.col("c_custkey") % 7
+    first = F.rpad(F.expr(f"array_join(transform(split({_WORD}, ''), c -> {pixel('hex(c)')}), '')"), 64 * 6, "0")
+    sure = F.coalesce(*[F.when(k == i, "".join(f"{v:02X}0000" for v in passes)) for i, passes in enumerate(_SURE)])
+    data = F.unhex(F.rpad(F.concat(first, sure), 64 * 20 * 6, "0"))
+    tokens = F.expr("CAST(null AS array<struct<text:string,bbox:array<double>>>)").alias("tokens")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", tokens, F.lit("SSN 123-45-6789").alias("text"), F.lit(20).alias("height"), F.lit(64).alias("width"), data.alias("data"))
+    read = read_images(rows, _read_word)
+    done = scan.responses(read, ["c_custkey", "ocr_status"], ScanConfig.of(["email", "ssn", "access_token"], mode="redact"))
+    shown = done.select("c_custkey", "ocr_status", "status", "total_detections", F.explode_outer("detections").alias("d"))
+    return shown.select("c_custkey", "ocr_status", "status", "total_detections", "d.type", "d.text", *[F.col("d.bbox")[i].alias(n) for i, n in enumerate("xywh")], F.col("d.verification_passed").alias("verified"))
+
+
+_OCR_SQL = f"""WITH r AS (SELECT c_custkey, {_WORD.replace("AS STRING", "AS VARCHAR")} AS word, c_custkey % 7 AS k FROM customer),
+    p AS (SELECT *, {", ".join(f"CASE k {' '.join(f'WHEN {i} THEN {v[n]}' for i, v in enumerate(_SURE))} END AS {name}" for n, name in enumerate(("one", "two")))} FROM r),
+    s AS (SELECT *, CASE WHEN k = 6 THEN NULL WHEN one = 0 THEN 'failed' WHEN two = 0 THEN 'partly read' ELSE 'read' END AS ocr_status,
+        CASE WHEN k = 6 THEN 'SSN' WHEN one >= 30 OR (one > 0 AND (two >= 20 OR (two > 0 AND word LIKE 'ghp~_%' ESCAPE '~'))) THEN CASE WHEN word LIKE 'ghp%' THEN 'ACCESS_TOKEN' ELSE 'EMAIL' END END AS type FROM p)
+    SELECT c_custkey, ocr_status, 'completed' AS status, CASE WHEN type IS NULL THEN 0 ELSE 1 END AS total_detections, type,
+        CASE type WHEN 'SSN' THEN 'XXX-XX-6789' WHEN 'EMAIL' THEN 'u•••@s••.•••' WHEN 'ACCESS_TOKEN' THEN 'ghp_' || repeat('•', 12) END AS text,
+        CASE WHEN k = 6 THEN CAST(0 AS DOUBLE) WHEN type IS NOT NULL THEN 8 - 10 * 0.12 END AS x, CASE WHEN k = 6 THEN CAST(0 AS DOUBLE) WHEN type IS NOT NULL THEN 4 - 10 * 0.12 END AS y,
+        CASE WHEN k = 6 THEN CAST(0 AS DOUBLE) WHEN type IS NOT NULL THEN 40 + 20 * 0.12 END AS w, CASE WHEN k = 6 THEN CAST(0 AS DOUBLE) WHEN type IS NOT NULL THEN 10 + 20 * 0.12 END AS h,
+        CASE WHEN type IS NOT NULL THEN true END AS verified
+    FROM s"""
+
+QUERIES = {"image_attempts": image_attempts, "ocr_requests": ocr_requests}
+ORACLES = {"image_attempts": _attempts_sql(), "ocr_requests": _OCR_SQL}

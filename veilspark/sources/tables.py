@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,17 +61,39 @@ def two_pass_tokens(first: Column, second: Column) -> Column:
     return merge_tokens(ocr_tokens(first), ocr_tokens(second, lenient, ENLARGED, rescue=True))
 
 
-def run_ocr(images: DataFrame, key: str, content: str, ocr: Callable[[bytes, float], list[dict]] | None) -> DataFrame:
-    """``key, first, second``: raw words of both passes, from an OCR function of (image bytes, scale). Without one there are none."""
-    words = "array<struct<text:string,conf:string,left:double,top:double,width:double,height:double>>"
+def read_images(df: DataFrame, ocr: Callable[[np.ndarray, float], list[dict]] | None) -> DataFrame:
+    """df with ``ocr``, the tokens read from its images in two passes, and ``ocr_status``; columns of these names are replaced.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            both = [[ocr(bytes(c), s) if ocr and c is not None else [] for c in pdf[content]] for s in (1.0, ENLARGED)]
-            yield pd.DataFrame({key: pdf[key], "first": both[0], "second": both[1]})
+    df: height, width int, data binary (RGB, row by row). ocr reads an image and is told the scale by which to enlarge it; it returns words
+    (text, conf, left, top, width, height) in the enlarged image. ocr_status is ``read``, ``partly read`` where the second pass failed (the
+    tokens of the first stay), ``failed`` where the first did, ``unavailable`` without a reader, and null without an image, which null
+    data is, or data of another size than stated. Tokens are null without an image and else empty where nothing was read; a reader that
+    fails on one image leaves the others as they are.
+    """
+    words = "array<struct<text:string,conf:string,left:double,top:double,width:double,height:double>>"
 
-    kind = images.schema[key].dataType.simpleString()
-    return images.select(key, content).mapInPandas(read, f"{key} {kind}, first {words}, second {words}")
+    def one(height: float, width: float, data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None
+        if ocr is None:
+            return [], [], "unavailable"
+        image, passes = np.frombuffer(data, np.uint8).reshape(int(height), int(width), 3), []
+        try:
+            for scale in (1.0, ENLARGED):
+                passes.append([w | {"conf": str(w["conf"])} for w in ocr(image, scale)])
+        except Exception:  # what the caller's reader raises is its own; the row says that it did
+            return (passes or [[]])[0], [], "partly read" if passes else "failed"
+        return *passes, "read"
+
+    def run(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*row) for row in zip(height, width, data, strict=True)], columns=["first", "second", "status"])
+
+    # opaque to the optimizer, which might otherwise read an image once for each use of its words
+    seen = F.pandas_udf(run, f"first {words}, second {words}, status string").asNondeterministic()
+    whole = F.coalesce(F.length("data") == F.col("height").cast("long") * F.col("width") * 3, F.lit(False))
+    read = df.withColumn("_words", seen("height", "width", F.when(whole, F.col("data"))))
+    tokens = F.when(F.col("_words.status").isNotNull(), two_pass_tokens(F.col("_words.first"), F.col("_words.second")))
+    return read.withColumns({"ocr": tokens, "ocr_status": F.col("_words.status")}).drop("_words")
 
 
 def scan_input(tokens: Column, ocr: Column, text: Column) -> tuple[Column, Column]:
